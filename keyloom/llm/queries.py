@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing
+from . import chat_format, packing, quality, topk
 from .common import table
 
 #: The extra conversation of op3's contract: what both of its rows say.
@@ -27,12 +27,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_quality_classifier": op6_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
@@ -57,4 +67,15 @@ select conv_id, count(*) as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        cast(sum(15 + length(role) + length(body)) as bigint) as formatted_chars
 from shown group by conv_id""",
+    "op5_exact_top_k": """
+with vectors as (
+  select vec_id, list_transform(embedding, lambda c: cast(floor(64 * cast(c as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), scored as (
+  select q.vec_id as query_id, x.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) as bigint) as score
+  from vectors q join vectors x on q.vec_id % 20 = 0 and q.vec_id <> x.vec_id and len(q.v) = len(x.v)
+), ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20""",
 }
