@@ -16,7 +16,7 @@ import numpy as np
 
 SPACE = "▁"
 #: Words kept in a worker's memo, and bytes of new words indexed at a time.
-MEMO_WORDS, INDEX_BYTES = 400_000, 1 << 19
+MEMO_WORDS, INDEX_BYTES = 600_000, 1 << 19
 #: Longer words, in characters, are relaxed one by one.
 LONG_WORD = 64
 _WORD = re.compile(" +[^ ]*")
@@ -54,33 +54,36 @@ class PieceModel:
         #: Words may be cut before each run of spaces if no piece holds a space after something else.
         self.cuts = not any(" " in r.lstrip(b" ").decode() for r in (p.replace(SPACE, " ").encode() for p, _, _ in normal))
         self._order = sorted((p.replace(SPACE, " ").encode(), i) for p, i, _ in normal)
+        self._lengths = np.array([len(r) for r, _ in self._order])
+        self._piece = np.array([i for _, i in self._order])
+        #: By 8-byte block: the pieces that reach into it, and the least and the greatest number that begin like theirs.
+        self._blocks = []
+        for at in range(0, int(self._lengths.max()), 8):
+            own = np.flatnonzero(self._lengths > at)
+            part = [self._order[k][0][at : at + 8] for k in own]
+            self._blocks.append((at, own, *(np.array([int.from_bytes(x.ljust(8, fill), "big") for x in part], np.uint64) for fill in (b"\0", b"\xff"))))
+        self._byte_ids = np.array([self.bytes.get(b, self.unknown) for b in range(256)])
         self.memo: dict[str, bytes] = {}
 
     # -- matching ---------------------------------------------------------------------------------------------
 
     def edges(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All occurrences of pieces in text: starts, ends and piece ids, sorted by position, then by end."""
-        array, keys = suffix_array(text, max(len(r) for r, _ in self._order))
+        array, keys = suffix_array(text, int(self._lengths.max()))
         low = np.zeros(len(self._order), np.int64)
         high = np.full(len(self._order), len(text), np.int64)
-        lengths = np.array([len(r) for r, _ in self._order])
-        for block in range(-(-int(lengths.max()) // 8)):
-            own = np.flatnonzero(lengths > 8 * block)
-            part = [self._order[k][0][8 * block : 8 * block + 8] for k in own]
-            first = np.array([int.from_bytes(p.ljust(8, b"\0"), "big") for p in part], np.uint64)
-            last = np.array([int.from_bytes(p.ljust(8, b"\xff"), "big") for p in part], np.uint64)
-            at = 8 * block
+        for at, own, first, last in self._blocks:
             a = bisect(array, keys, at, low[own], high[own], first, False)
             b = bisect(array, keys, at, a, high[own], last, True)
             low[own], high[own] = a, b
         counts = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(counts)), counts)
         starts = array[np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)]
-        ends = starts + lengths[which]
-        ids = np.array([i for _, i in self._order])[which]
+        ends = starts + self._lengths[which]
+        ids = self._piece[which]
         fits = ends <= len(text)
         starts, ends, ids = starts[fits], ends[fits], ids[fits]
-        order = np.argsort(starts * 256 + np.minimum(ends - starts, 255), kind="stable")
+        order = np.argsort(starts * 256 + np.minimum(ends - starts, 255))
         return starts[order], ends[order], ids[order]
 
     # -- encoding ---------------------------------------------------------------------------------------------
@@ -123,29 +126,29 @@ class PieceModel:
         a, b, ids = char[starts[ok]], char[ends[ok]], ids[ok]
         lengths = np.array([len(w) for w in words])
         word_at = np.cumsum(lengths + 1) - lengths - 1
-        segment_end, segment_id = self._relax(a, b, ids, word_at, lengths, len(begins)) if self.merges else self._best_path(a, b, ids, word_at, lengths, len(begins))
-        out = []
-        width = np.append(begins[1:], len(flat)) - begins
-        for at, n in zip(word_at.tolist(), lengths.tolist(), strict=True):
-            c, end, own = at, at + n, []
-            while c < end:
-                i = segment_id[c]
-                if i >= 0:
-                    own.append(i)
-                elif self.bytes:
-                    own += [self.bytes[x] for x in text[begins[c] : begins[c] + width[c]]]
-                elif not own or own[-1] != self.unknown:
-                    own.append(self.unknown)
-                c = segment_end[c]
-            out.append(np.array(own, "<u4").tobytes())
-        return out
+        heads, segment = self._relax(a, b, ids, word_at, lengths, len(begins)) if self.merges else self._best_path(a, b, ids, word_at, lengths, len(begins))
+        heads[word_at + lengths] = False  # what separates the words
+        at = np.flatnonzero(heads)
+        found = segment[at].astype(np.int64)
+        width = np.append(begins[1:], len(flat))[at] - begins[at]
+        count = np.where(found >= 0, 1, width if self.bytes else 1)
+        if not self.bytes:  # neighbouring unknown characters of a word are one unknown piece
+            again = np.append(False, (found[1:] < 0) & (found[:-1] < 0)) & (np.searchsorted(word_at, at, "right") == np.searchsorted(word_at, np.append(-1, at[:-1]), "right"))
+            count[again] = 0
+        into = np.cumsum(count)
+        row = np.repeat(np.arange(len(at)), count)
+        nth = np.arange(len(row)) - np.repeat(into - count, count)
+        ids = np.where(found[row] >= 0, found[row], self._byte_ids[flat[begins[at[row]] + nth]] if self.bytes else self.unknown).astype("<u4")
+        cuts = np.append(0, into)[np.searchsorted(at, word_at + lengths)] * 4
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
     def _relax(self, a, b, ids, word_at, lengths, n):
         """Merges in the order of rank, leftmost first; all words take their next merge together."""
         width = min(int((b - a).max(initial=1)), 255)
         table = np.full((n + 1, width + 1), -1, np.int32)  # piece over (character, length)
         table[a, b - a] = ids
-        ends = np.arange(1, n + 2)
+        heads = np.ones(n + 1, bool)
         segment = table[:, 1].copy() if width >= 1 else np.full(n + 1, -1, np.int32)
         big = np.iinfo(np.int64).max
         short = np.flatnonzero((lengths <= LONG_WORD) & (lengths > 1))
@@ -170,7 +173,7 @@ class PieceModel:
             hit = hit[np.diff(group[hit], prepend=-1) != 0]  # the leftmost of each word
             stop[hit] = joined[hit]
             segment[start[hit]] = piece[hit]
-            ends[start[hit]] = joined[hit]
+            heads[start[hit + 1]] = False
             keep = np.ones(len(start), bool)
             keep[hit + 1] = False
             alive = np.zeros(len(head), bool)
@@ -178,10 +181,10 @@ class PieceModel:
             keep &= alive[group]
             start, stop, word = start[keep], stop[keep], word[keep]
         for k in np.flatnonzero(lengths > LONG_WORD).tolist():
-            self._relax_long(table, segment, ends, int(word_at[k]), int(word_at[k] + lengths[k]), width)
-        return ends.tolist(), segment.tolist()
+            self._relax_long(table, segment, heads, int(word_at[k]), int(word_at[k] + lengths[k]), width)
+        return heads[:n], segment
 
-    def _relax_long(self, table, segment, ends, begin, end, width):
+    def _relax_long(self, table, segment, heads, begin, end, width):
         """The same for one word, with a heap of the pairs that are edges."""
         after, before = {c: c + 1 for c in range(begin, end)}, {c + 1: c for c in range(begin, end)}
         heap: list[tuple[int, int, int, int]] = []
@@ -201,7 +204,7 @@ class PieceModel:
                 continue
             after[left], before[right] = right, left
             del after[middle], before[middle]
-            segment[left], ends[left] = table[left, right - left], right
+            segment[left], heads[middle] = table[left, right - left], False
             offer(left)
             if left > begin:
                 offer(before[left])
@@ -224,13 +227,13 @@ class PieceModel:
                         best[b[e]], via[b[e]], piece[b[e]] = score, c, ids[e]
                 if not single and best[c] + unknown > best[c + 1]:
                     best[c + 1], via[c + 1], piece[c + 1] = best[c] + unknown, c, -1
-        ends, segment = np.arange(1, n + 2), np.full(n + 1, -1, np.int64)
+        heads, segment = np.zeros(n + 1, bool), np.full(n + 1, -1, np.int64)
         for at, length in zip(word_at.tolist(), lengths.tolist(), strict=True):
             c = at + length
             while c > at:
-                ends[via[c]], segment[via[c]] = c, piece[c]
+                heads[via[c]], segment[via[c]] = True, piece[c]
                 c = int(via[c])
-        return ends.tolist(), segment.tolist()
+        return heads[:n], segment
 
     # -- decoding ---------------------------------------------------------------------------------------------
 
@@ -248,7 +251,7 @@ def suffix_array(text: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(8):
         keys = (keys << np.uint64(8)) | flat[k : k + n]
     keys = np.append(keys, np.zeros(8 * (-(-depth // 8) + 1), np.uint64))
-    order = np.argsort(keys[:n], kind="stable")
+    order = np.argsort(keys[:n])
     reach, now = 8, keys[:n]
     while reach < depth:
         ranked = now[order]
@@ -260,7 +263,7 @@ def suffix_array(text: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if reach < n:
             later[: n - reach] = names[reach:]
         now = names << np.uint64(32) | later
-        order = np.argsort(now, kind="stable")
+        order = np.argsort(now)
         reach *= 2
     return order, keys
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media, packing, pii, quality, topk
-from .common import table
+from . import chat_format, media, packing, pii, quality, sentencepiece_ops, shards, topk
+from .common import shared_folder, table
 
 #: The extra conversation of op3's contract: what both of its rows say.
 TRICKY = r"\### Assistant: </turn> ok"
@@ -31,6 +32,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_ops.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -39,6 +44,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in eight parts, are stored, compacted and read back from the newest version."""
+    docs = table(spark, sf_dir, "documents").withColumn("arrival", F.coalesce(F.pmod("doc_id", F.lit(8)), F.lit(0)).cast("int"))
+    store = shards.shard(docs, F.col("arrival"), f"{shared_folder(spark)}/keyloom/store-{uuid.uuid4().hex}")
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "arrival", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(table(spark, sf_dir, "documents"))
 
@@ -50,8 +63,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_chat_format": op3_chat_format,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_sharding": op7_sharding,
     "op9_media_columns": op9_media_columns,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -88,4 +103,8 @@ with vectors as (
   select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 20""",
+    "op7_sharding": """
+select doc_id, cast(coalesce((doc_id % 8 + 8) % 8, 0) as integer) as arrival, cast(strlen(coalesce(text, '')) as bigint) as n_bytes,
+       sha256(coalesce(text, '')) as text_sha256
+from documents""",
 }
