@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media, packing, pii, quality, sentencepiece_ops, shards, topk
+from . import chat_format, media, near_dedup, packing, pii, quality, sentencepiece_ops, shards, topk
 from .common import shared_folder, table
 
 #: The extra conversation of op3's contract: what both of its rows say.
@@ -26,6 +26,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
@@ -62,6 +66,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_minhash": op2_minhash,
     "op3_chat_format": op3_chat_format,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_top_k": op5_exact_top_k,
@@ -72,6 +77,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then cast([] as varchar[]) when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words
+), shingles as (select doc_id, unnest(s) as g from sets),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select a as doc, a as other from both_ways union select reach.doc, both_ways.b from reach join both_ways on reach.other = both_ways.a),
+lowest as (select doc, min(other) as low from reach group by doc)
+select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(low, doc_id) as component_id, doc_id = coalesce(low, doc_id) as kept
+from sets left join lowest on doc = doc_id""",
     # The template's lengths: "### ", ": " and " </turn>\n" are 15 characters a turn; "###" and "</turn>" become two characters each.
     "op3_chat_format": r"""
 with rows as (
