@@ -6,8 +6,8 @@ permutations, six values, make a band; documents that agree in a band are candid
 the full sets.
 
 Candidates are not expanded into pairs.  Equal sets are one class from the start.  In a bucket all members are compared
-with one pivot, the member with the most neighbours over all its buckets.  Only buckets whose members then still lie in
-several components are looked at again, member by member of the smaller components, which is exact for the rest.
+with one pivot, the member with the most neighbours over all its buckets.  Only around pivots whose buckets then still
+hold several components, the members of the smaller ones are compared with all others, block by block.
 """
 
 from __future__ import annotations
@@ -177,12 +177,16 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, common long, whole long")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b), written already, and sets (doc_id, shingles) -> overlaps of every pair, with `linked`."""
+def met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sets (doc_id, shingles) of both: a, b, of_a, of_b.  Any b may be in any share of the pairs."""
     weights = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.count("*").alias("n"))
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a").withColumnRenamed("b", "doc_id")
-    both = unique_join(with_a, sets, "doc_id", weights).select("a", F.col("doc_id").alias("b"), "of_a", F.col("shingles").alias("of_b"))
-    return overlaps(both).withColumn("linked", F.expr(f"100 * common >= {percent} * whole"))
+    return unique_join(with_a, sets, "doc_id", weights).select("a", F.col("doc_id").alias("b"), "of_a", F.col("shingles").alias("of_b"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) and sets (doc_id, shingles) -> overlaps of every pair, with `linked`."""
+    return overlaps(met(pairs, sets)).withColumn("linked", F.expr(f"100 * common >= {percent} * whole"))
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -204,16 +208,15 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     degree = members.groupBy("doc").agg(F.sum("many").alias("degree"))
     centre = members.join(degree, "doc").groupBy("band").agg(F.max_by(F.struct("doc", "size"), F.struct("degree", -F.col("doc"))).alias("pivot"))
     paired = unique_join(members, centre, "band", counts)
-    near = F.expr(f"100 * least(size, pivot.size) >= {percent} * greatest(size, pivot.size)")
-    pairs = staged(paired.where(F.col("doc") != F.col("pivot.doc")).where(near).select(F.col("doc").alias("a"), F.col("pivot.doc").alias("b")).distinct(), "pairs")
+    stars = staged(paired.select("doc", "size", F.col("pivot.doc").alias("pivot"), F.col("pivot.size").alias("pivot_size")).distinct(), "stars")
+    near = F.expr(f"100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")
+    pairs = stars.where("doc <> pivot").where(near).select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     sets = staged(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "shingles"]), "shingles")
-    tested = staged(confirm(pairs, sets, percent), "tested")
-    links = tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = staged(confirm(pairs, sets, percent).where("linked"), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = staged(components(links), "labels")
-    rest = remaining(members, counts, label, tested, percent)
-    if not rest.isEmpty():
-        more = confirm(rest, sets, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = staged(star_links(stars.select("doc", "pivot"), label, sets, percent).distinct(), "links")
+    if not more.isEmpty():
         tied = label.select(F.col("node").alias("u"), F.col("component").alias("v"))
         label = staged(components(tied.unionAll(more)), "labels")
     # rows of equal sets hang on their first; ids with several sets tie those together
@@ -229,19 +232,87 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def remaining(members: DataFrame, counts: DataFrame, label: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs that no link decides yet: same bucket, different components, not compared before.
+_DELTA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("novel", pa.binary()), ("gone", pa.binary()), ("size_b", pa.int64())])
+
 
-    Only members outside a bucket's largest component look for partners, and only among sizes that the threshold
-    allows.  A pivot's distances bound theirs: d(x, y) >= |d(x, p) - d(y, p)|, so pairs farther apart than that are out.
+def deltas(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) -> what a's set has beyond b's, what it lacks of it, and the size of b's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out: dict[str, list] = {"novel": [], "gone": [], "size_b": []}
+            for x, y in zip(rows.column("of_a"), rows.column("of_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                out["novel"].append(np.setdiff1d(x, y, assume_unique=True).tobytes())
+                out["gone"].append(np.setdiff1d(y, x, assume_unique=True).tobytes())
+                out["size_b"].append(len(y))
+            yield batch({"a": rows.column("a"), "b": rows.column("b")} | out, _DELTA)
+
+    return met(pairs, sets).mapInArrow(run, "a long, b long, novel binary, gone binary, size_b long")
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray], n: int) -> np.ndarray:
+    """How many numbers each of `left` has in common with each of `right`, as a matrix with n columns."""
+    counts = np.zeros(len(left) * n, np.int64)
+    if not right or not sum(map(len, right)):
+        return counts.reshape(len(left), n)
+    of_right = np.concatenate(right)
+    owner = np.repeat(np.arange(n), [len(x) for x in right])
+    order = np.argsort(of_right, kind="stable")
+    of_right, owner = of_right[order], owner[order]
+    for k, own in enumerate(left):
+        a, b = np.searchsorted(of_right, own, "left"), np.searchsorted(of_right, own, "right")
+        times = b - a
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
+        counts[k * n : (k + 1) * n] = np.bincount(owner[at], minlength=n)
+    return counts.reshape(len(left), n)
+
+
+#: Members of a star that one task compares: outside the largest component, and of all.
+MINOR_BLOCK, STAR_BLOCK = 32, 128
+_LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def star_links(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components that meet in a star; stars: (doc, pivot), the pivots themselves included.
+
+    Two candidates share a pivot, so all candidates are compared: in every star, each member outside its largest
+    component with each member of another component.  Members come as their differences from the pivot's set, from
+    which their overlap follows exactly: |x & y| = |p| - |gone x| - |gone y| + |gone x & gone y| + |novel x & novel y|.
+    A star is dealt out in blocks, so that no task holds a whole one, and gives one link for each two components in a
+    block.
     """
-    named = members.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    shares = named.groupBy("band", "component").agg(F.count("*").alias("share"))
-    mixed = shares.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("share", -F.col("component"))).alias("largest")).where("kinds > 1").select("band", "largest")
-    inside = staged(unique_join(named.select("band", "doc", "size", "component"), mixed, "band", counts), "mixed")
-    minor = inside.where("component <> largest").select("band", F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-    other = inside.select("band", F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    fits = F.expr(f"component_a <> component_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-    pairs = minor.join(other, "band").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return staged(pairs.join(done, ["a", "b"], "left_anti"), "remaining")
+    named = stars.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    shares = named.groupBy("pivot", "component").agg(F.count("*").alias("share"))
+    mixed = shares.groupBy("pivot").agg(F.count("*").alias("kinds"), F.sum("share").alias("many"), F.max("share").alias("most"), F.max_by("component", F.struct("share", -F.col("component"))).alias("largest"))
+    mixed = staged(mixed.where("kinds > 1").select("pivot", "many", "most", "largest"), "mixed")
+    weights = mixed.select("pivot", F.col("many").alias("n"))
+    inside = unique_join(named, mixed, "pivot", weights)
+    changes = deltas(inside.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), sets).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "novel", "gone", "size_b")
+    known = staged(inside.join(changes, ["doc", "pivot"]), "stars")
+    h = F.xxhash64("doc")
+    minors, alls = F.ceil((F.col("many") - F.col("most")) / MINOR_BLOCK).cast("int"), F.ceil(F.col("many") / STAR_BLOCK).cast("int")
+    known = known.select("pivot", "doc", "component", "largest", "novel", "gone", "size_b", h.alias("h"), minors.alias("minors"), alls.alias("alls"))
+    keep = ["pivot", "x", "y", "doc", "component", "novel", "gone", "size_b"]
+    minor = known.where("component <> largest").withColumn("x", F.expr("pmod(h, minors)").cast("int")).withColumn("y", F.explode(F.expr("sequence(0, alls - 1)"))).select(*[F.col(c).alias(c) for c in keep])
+    other = known.withColumn("y", F.expr("pmod(h, alls)").cast("int")).withColumn("x", F.explode(F.expr("sequence(0, minors - 1)"))).select(*[F.col(c).alias(c) for c in keep])
+
+    def arrays(rows: pa.Table, name: str) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(name)]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return _LINK.empty_table()
+        p = left.column("size_b")[0].as_py()
+        (novel_x, gone_x), (novel_y, gone_y) = ([arrays(t, c) for c in ("novel", "gone")] for t in (left, right))
+        lacks_x, lacks_y, more_x, more_y = (np.array([len(v) for v in w]) for w in (gone_x, gone_y, novel_x, novel_y))
+        n = len(right)
+        common = p - lacks_x[:, None] - lacks_y[None, :] + shared(gone_x, gone_y, n) + shared(novel_x, novel_y, n)
+        whole = (p - lacks_x + more_x)[:, None] + (p - lacks_y + more_y)[None, :] - common
+        of_x, of_y = left.column("component").to_numpy(), right.column("component").to_numpy()
+        a, b = np.nonzero((100 * common >= percent * whole) & (of_x[:, None] != of_y[None, :]))
+        found = np.unique(np.stack([of_x[a], of_y[b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.table({"u": found[:, 0], "v": found[:, 1]}, schema=_LINK)
+
+    one = ["pivot", "x", "y"]
+    return minor.groupBy(*one).cogroup(other.groupBy(*one)).applyInArrow(compare, "u long, v long")
