@@ -44,6 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark then clears away the shuffle files that only this table needed
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

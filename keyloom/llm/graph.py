@@ -11,7 +11,7 @@ from .common import staged
 HOT_SHARE = 200
 
 
-def unique_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame, least: int = 1000) -> DataFrame:
+def unique_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame, least: int = 1000, hint: str | None = None) -> DataFrame:
     """left joined with right, which has one row for each key; weights: (key, n), the rows that left has of each key.
 
     Hot keys' rows of `right` are broadcast: at most HOT_SHARE, as each stands for that share of left's rows.  All
@@ -24,6 +24,7 @@ def unique_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame,
     first = left.join(hot, F.col(key) == F.col("hot_key"), "left")
     met = F.when(F.col("hot_key").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).alias("salt"))).otherwise(F.struct(F.col(key).alias("k"), (1 + F.abs(F.hash(*left.columns)) % 4096).alias("salt")))
     rest = right.select(F.struct(F.col(key).alias("k"), F.lit(0).alias("salt")).alias("met"), F.struct(*names).alias("row"))
+    rest = rest.hint(hint) if hint else rest
     both = first.withColumn("met", met).join(rest, "met", "left").withColumn("found", F.coalesce("hot_row", "row")).where(F.col("found").isNotNull())
     return both.select(*left.columns, *[F.col(f"found.{c}").alias(c) for c in names])
 

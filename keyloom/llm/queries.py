@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media, near_dedup, packing, pii, quality, sentencepiece_ops, shards, topk
+from . import chat_format, media, near_dedup, packing, pii, quality, sentencepiece_ops, shards, suffix_dedup, topk
 from .common import shared_folder, table
 
 #: The extra conversation of op3's contract: what both of its rows say.
@@ -56,6 +56,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "arrival", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_top_k": op5_exact_top_k,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_sharding": op7_sharding,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

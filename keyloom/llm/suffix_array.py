@@ -1,0 +1,103 @@
+"""Suffix order by difference covers, up to a bounded depth, on one array.
+
+DC3: the suffixes at positions 1 and 2 modulo 3 are sorted by their first three symbols; where these triples do not
+tell them apart yet, their names form a shorter string that is sorted by recursion.  The suffixes at positions 0 modulo
+3 follow from a symbol and the rank after it, and merge with the others by one or two symbols and a rank.
+
+Recursion ends once names cover `depth` symbols.  Suffixes that agree that far may come in any order, but next to one
+another.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: Bits of a name in a triple: strings are shorter than this many symbols.
+BITS = 21
+MOST = (1 << BITS) - 16
+#: Bytes in a symbol of the first string.
+WIDTH = 8
+
+
+def named(keys: np.ndarray) -> np.ndarray:
+    """The dense rank of each key, from 1."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])) + 1
+    return out
+
+
+def dc3(s: np.ndarray, depth: int) -> np.ndarray:
+    """For each position a number; numbers are ordered as the suffixes are by their first `depth` symbols or more."""
+    n = len(s)
+    if depth <= 1 or n < 3:
+        return named(s) if depth <= 1 else naive(s)
+    wide = np.concatenate([s, np.zeros(4, np.int64)])
+    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
+    sample = np.concatenate([one, two])
+    names = named(wide[sample] << (2 * BITS) | wide[sample + 1] << BITS | wide[sample + 2])
+    if depth > 3 and int(names.max()) < len(sample):
+        below = dc3(np.concatenate([names[: len(one)], [0], names[len(one) :]]), -(-depth // 3))
+        names = named(np.concatenate([below[: len(one)], below[len(one) + 1 :]]))
+    rank = np.zeros(n + 4, np.int64)
+    rank[sample] = names
+    zero = np.arange(0, n, 3)
+    # keys by which class 0 compares with itself and class 1, and with class 2
+    key0, key1 = (wide[i] << BITS | rank[i + 1] for i in (zero, one))
+    far0, key2 = (wide[i] << (2 * BITS) | wide[i + 1] << BITS | rank[i + 2] for i in (zero, two))
+    order0, order12 = np.argsort(key0), np.argsort(names)
+    place12 = np.empty(len(sample), np.int64)
+    place12[order12] = np.arange(len(sample))
+    sorted0, sorted1, sorted2, far = key0[order0], np.sort(key1), np.sort(key2), np.sort(far0)
+    out = np.empty(n, np.int64)
+    out[zero[order0]] = np.arange(len(zero)) + np.searchsorted(sorted1, sorted0) + np.searchsorted(sorted2, far0[order0])
+    out[one] = place12[: len(one)] + np.searchsorted(sorted0, key1)
+    out[two] = place12[len(one) :] + np.searchsorted(far, key2)
+    return out + 1
+
+
+def naive(s: np.ndarray) -> np.ndarray:
+    order = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    out = np.empty(len(s), np.int64)
+    out[order] = np.arange(1, len(s) + 1)
+    return out
+
+
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of a byte array (of fewer than MOST bytes) ordered by the `depth` bytes from there, zeros after the end.
+
+    Symbols are WIDTH bytes.  The text falls into WIDTH strings of symbols, one for each remainder, which are sorted as
+    one string with a zero after each.
+    """
+    n = len(text)
+    keys = np.zeros(n, np.uint64)
+    padded = np.concatenate([text, np.zeros(WIDTH, np.uint8)]).astype(np.uint64)
+    for k in range(WIDTH):
+        keys = keys << np.uint64(8) | padded[k : k + n]
+    symbols = named(keys)
+    size = -(-n // WIDTH) + 1
+    strings = np.zeros((WIDTH, size), np.int64)
+    for r in range(min(WIDTH, n)):
+        own = symbols[r::WIDTH]
+        strings[r, : len(own)] = own
+    score = dc3(strings.ravel(), -(-depth // WIDTH)).reshape(WIDTH, size)
+    at = np.arange(n)
+    return np.argsort(score[at % WIDTH, at // WIDTH], kind="stable")
+
+
+def equal_neighbours(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """For neighbours in `order`, whether they agree in the `length` bytes from there; all of these lie in the text."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        words = words << np.uint64(8) | padded[k : k + len(text)].astype(np.uint64)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        left = np.flatnonzero(same)
+        values = words[order + at] if len(left) * 2 > len(same) else None
+        if values is not None:
+            same &= values[1:] == values[:-1]
+        else:
+            same[left] = words[order[left + 1] + at] == words[order[left] + at]
+    return same
