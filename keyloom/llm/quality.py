@@ -154,6 +154,28 @@ def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(1))
 
 
+def learn(known: DataFrame, labels: DataFrame) -> Model | float:
+    """Statistics (doc_id, x) and labels (doc_id, quality) -> the model, from the rows that are not held out."""
+    marked = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("of"), (F.col("quality") > 0).cast("double").alias("y"))
+    train = known.where(remainder(F.col("doc_id")) != 1).join(marked, F.col("doc_id") == F.col("of"))
+    return fit(staged(train.select("x", "y", (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % FOLDS).cast("int").alias("fold")), "training"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score 0.5 or more, with all their columns; texts are scored where they are."""
+    model = learn(staged(document_statistics(docs), "statistics"), labels)
+
+    @F.pandas_udf("boolean")
+    def good(texts):
+        import pandas as pd
+
+        if isinstance(model, float) or not len(texts):
+            return pd.Series([model >= 0.5 if isinstance(model, float) else True] * len(texts), dtype=bool)
+        return pd.Series(model.score(np.array([statistics(t or "") for t in texts])) >= 0.5)
+
+    return docs.where(good("text"))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents (doc_id, text) and labels (doc_id, quality) -> doc_id, held_out, score, predicted, one row per document.
 
@@ -163,9 +185,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored each; other columns are ignored; with no labels all scores are 0.5; an empty table gives no rows.
     """
     known = staged(document_statistics(docs), "statistics")
-    marked = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("of"), (F.col("quality") > 0).cast("double").alias("y"))
-    train = known.where(remainder(F.col("doc_id")) != 1).join(marked, F.col("doc_id") == F.col("of"))
-    model = fit(staged(train.select("x", "y", (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % FOLDS).cast("int").alias("fold")), "training"))
+    model = learn(known, labels)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
