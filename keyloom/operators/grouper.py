@@ -87,7 +87,11 @@ class Grouper:
 
     def apply(self, function: Callable, schema: str) -> DataFrame:
         """Any Python over each group's Arrow table; a group must fit into a task."""
-        return self._frame.df.groupBy(*self._keys).applyInArrow(function, schema)
+        df, names = self._frame.df, [f"{HIDDEN}g{i}" for i in range(len(self._keys))]
+        for name, key in zip(names, self._keys, strict=True):
+            df = df.withColumn(name, key)
+        shown = list(self._frame.columns)
+        return df.select(*shown, *names).groupBy(*names).applyInArrow(lambda table: function(table.select(shown)), schema)
 
 
 def _ordered(frame: Frame, names: list[str], name: str) -> Frame:
