@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import SortKey
 from .frame import HIDDEN, POSITION, Frame
 
+#: Positions whose weights are summed in one group.
+BLOCK = 1 << 16
+
 
 def sample(frame: Frame, n: int | None = None, frac: float | None = None, replace: bool = False, weights: str | None = None, seed: int | None = None) -> Frame:
     """n rows, or int(frac * rows): ValueError unless one of them is given, or for more rows than there are without replacement.
@@ -29,11 +33,24 @@ def sample(frame: Frame, n: int | None = None, frac: float | None = None, replac
     if weights is None:
         draws = draws.select("id", F.floor(F.col(HIDDEN + "u") * total).alias(HIDDEN + "p"))
     else:
-        from pyspark.sql import Window
-
-        size = F.sum(F.col(f"`{weights}`").cast("double")).over(Window.orderBy(POSITION).rowsBetween(Window.unboundedPreceding, -1))
-        ranges = rows.select(F.col(POSITION).alias(HIDDEN + "p"), F.coalesce(size, F.lit(0.0)).alias("a"), F.col(f"`{weights}`").cast("double").alias("w"))
-        whole = frame.df.agg(F.sum(F.col(f"`{weights}`").cast("double"))).first()[0]
-        draws = draws.withColumn(HIDDEN + "u", F.col(HIDDEN + "u") * whole).join(ranges, (F.col(HIDDEN + "u") >= F.col("a")) & (F.col(HIDDEN + "u") < F.col("a") + F.col("w"))).select("id", HIDDEN + "p")
+        whole = frame.df.agg(F.sum(F.col(f"`{weights}`").cast("double"))).first()[0] or 0.0
+        draws = draws.withColumn(HIDDEN + "u", F.col(HIDDEN + "u") * F.lit(whole)).join(*_ranges(rows, weights, max(64, n), whole)).select("id", HIDDEN + "p")
     out = rows.join(draws, F.col(POSITION) == F.col(HIDDEN + "p")).drop(POSITION, HIDDEN + "p").withColumnRenamed("id", POSITION)
     return frame._with(out, order=(SortKey(POSITION),))
+
+
+def _ranges(rows: DataFrame, weights: str, buckets: int, whole: float) -> tuple[DataFrame, Column]:
+    """The range of running weight that each position owns, in every bucket that it meets, and the condition on which a draw falls into it.
+
+    Running sums are taken in blocks of positions and then over the blocks' totals, one row each.
+    """
+    w, block = F.col(f"`{weights}`").cast("double"), F.floor(F.col(POSITION) / BLOCK)
+    weighed = rows.select(F.col(POSITION).alias(HIDDEN + "p"), F.coalesce(w, F.lit(0.0)).alias("w"), block.alias("block"))
+    totals = weighed.groupBy("block").agg(F.sum("w").alias("total"))
+    before = totals.select("block", F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    inside = F.coalesce(F.sum("w").over(Window.partitionBy("block").orderBy(HIDDEN + "p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranges = weighed.withColumn("inside", inside).join(before, "block").where("w > 0").withColumn("a", F.col("before") + F.col("inside")).withColumn("b", F.col("before") + F.col("inside") + F.col("w"))
+    width = whole / buckets if whole else 1.0
+    spread = ranges.select(HIDDEN + "p", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("bucket"))
+    u = F.col(HIDDEN + "u")
+    return spread, (F.floor(u / width) == F.col("bucket")) & (u >= F.col("a")) & (u < F.col("b"))
