@@ -271,10 +271,17 @@ class Frame:
         """The first k rows; over an order this is a top-k, without a full sort."""
         return self._with(self._sorted().limit(k))
 
-    def isin(self, name: str, haystack: Any, assume_unique: bool = False, invert: bool = False) -> Column:
-        """Whether values are among others, which are cast to the column's type; nulls are in nothing."""
+    def isin(self, name: str, haystack: Any, assume_unique: bool = False, invert: bool = False, verbatim: bool = False) -> Column:
+        """Whether values are among others, which are cast to the column's type; nulls are in nothing.
+
+        Zero bytes at the end of binary values do not count, unless verbatim.
+        """
         kind = self.df.schema[self._need([name])[0]].dataType
         values = [v for v in haystack if v is not None and v == v]
+        if isinstance(kind, T.BinaryType) and not verbatim:
+            bare = F.regexp_replace(F.hex(F.col(f"`{name}`")), "(00)+$", "")
+            found = F.coalesce(bare.isin([bytes(v).rstrip(b"\0").hex().upper() for v in values]) if values else F.lit(False), F.lit(False))
+            return ~found if invert else found
         if isinstance(kind, T.IntegralType):
             values = [int(v) for v in values]
         found = F.coalesce(F.col(f"`{name}`").isin(*[F.lit(v).cast(kind) for v in values]) if values else F.lit(False), F.lit(False))
@@ -396,9 +403,26 @@ class Frame:
 
     # -- index ------------------------------------------------------------------------------------------------
 
-    def set_index(self, index: str | Iterable[str], inplace: bool = False, drop: bool = False) -> Frame | None:
-        """Make columns the index; drop takes the columns of the old one away."""
-        names = tuple(self._need([index] if isinstance(index, str) else index))
+    def set_index(self, index: Any, inplace: bool = False, drop: bool = False) -> Frame | None:
+        """Make columns the index; drop takes the columns of the old one away.
+
+        Levels are names, or expressions and arrays of one value a row, which become columns _index0, _index1 and so on.
+        """
+        levels = [index] if isinstance(index, (str, Column)) or not isinstance(index, (list, tuple)) else list(index)
+        if levels and not any(isinstance(x, (str, Column)) or hasattr(x, "__len__") for x in levels):
+            levels = [levels]  # one array
+        source = self
+        names: tuple[str, ...] = ()
+        for k, level in enumerate(levels):
+            if not isinstance(level, str):
+                if f"_index{k}" in source.columns:
+                    raise ValueError(f"a column _index{k} is there")
+                source = source.with_column(f"_index{k}", level)
+                level = f"_index{k}"
+            names += (level,)
+        if source is not self:
+            return self._into(source.set_index(list(names), drop=drop), inplace)
+        self._need(names)
         if len(set(names)) < len(names):
             raise ValueError("a column is in the index once")
         old = [n for n in self._index if n not in names] if drop else []

@@ -35,6 +35,10 @@ class Grouper:
             elif isinstance(key, Column):
                 self._keys.append(key.alias(f"key{i}"))
                 names.append(f"key{i}")
+            elif isinstance(key, (list, tuple)) or type(key).__module__ == "numpy" and getattr(key, "ndim", 0) == 1:
+                frame = self._frame = self._frame.with_column(f"{HIDDEN}key{i}", key)  # one value a row
+                self._keys.append(F.col(f"{HIDDEN}key{i}").alias(f"key{i}"))
+                names.append(f"key{i}")
             else:
                 raise TypeError(f"a key is a name or an expression, not {type(key).__name__}")
         self.names = tuple(names)

@@ -133,6 +133,9 @@ def test_isin(make):
     assert got(f.with_column("m", f.isin("b", [None])), "m") == [False, False, False]
     assert got(f.with_column("m", f.isin("c", [NAN])), "m") == [False, False, False]
     assert got(f.with_column("m", f.isin("a", [])), "m") == [False] * 3
+    raw = make(z=[b"a\0", b"b", b"a"])
+    assert got(raw.with_column("m", raw.isin("z", [b"a"])), "m") == [True, False, True]
+    assert got(raw.with_column("m", raw.isin("z", [b"a"], verbatim=True)), "m") == [False, False, True]
     other = make(k=[1, 3, 3])
     assert got(f.isin_frame("a", other, "k"), "a") == [1, 3] and got(f.isin_frame("a", other, "k", invert=True), "a") == [2]
 
@@ -223,6 +226,9 @@ def test_groups(make):
     assert sorted(map(tuple, total.collect())) == [(1, 2), (2, 2), (3, 3)]
     assert bag(make(k=[1.0, NAN, None], v=[1.0, NAN, 3.0]).groupby("k").agg(m=("v", "fmax"), c=("v", "count"))) == [(1.0, 1.0, 1), (None, 3.0, 2)]
     assert bag(make(a=pa.array([], pa.float64())).groupby("a").counts()) == []
+    assert bag(f.groupby([0, 1, 0, 1, 0, 1, 0]).counts()) == [(0, 4), (1, 3)]
+    with pytest.raises(ValueError):
+        f.groupby([0, 1])
     with pytest.raises(ValueError):
         f.groupby()
     with pytest.raises(TypeError):
@@ -310,6 +316,11 @@ def test_index(make):
     assert one.columns == ("a",) and one.index.name == "a" and not one.index.is_unique and [r[0] for r in one.index.values.collect()] == [1, 2, 2]
     assert f.reset_index().columns == ("a", "b") and f.reset_index().index.names == () and f.set_index("b").reset_index(drop=True).columns == ("a",)
     assert f.reset_index().index.is_unique
+    array = f.set_index([5, 6, 7])
+    assert array.index.names == ("_index0",) and got(array, "_index0") == [5, 6, 7]
+    assert f.set_index([F.col("a") + 1, "b"]).index.names == ("_index0", "b")
+    with pytest.raises(ValueError):
+        array.set_index([1, 2, 3])
     with pytest.raises(KeyError):
         f.set_index("zz")
     with pytest.raises(ValueError):
