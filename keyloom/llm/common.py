@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +40,54 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables that the innermost scratch block has written.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged within, but those that are kept, and the shuffle files of the jobs within."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            delete(spark, path)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark clear away the shuffle files of jobs that are over: it does once the driver collects what refers to them, which takes two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df below the shared folder and read it back, which cuts its lineage and survives the loss of executors.
 
-    The files go when the driver ends.
+    The files go at the end of the scratch block, or when the driver ends if there is none or they are to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # Spark then clears away the shuffle files that only this table needed
-    atexit.register(_forget, spark, path)
+    paths = _SCOPE.get()
+    if keep or paths is None:
+        atexit.register(_forget, spark, path)
+    else:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:

@@ -20,13 +20,14 @@ def unique_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame,
     total = weights.agg(F.sum("n")).first()[0] or 0
     names = [c for c in right.columns if c != key]
     hot_keys = F.broadcast(weights.where(F.col("n") > max(least, total // HOT_SHARE)).select(key))
-    hot = F.broadcast(right.join(hot_keys, key, "left_semi").select(F.col(key).alias("hot_key"), F.struct(*names).alias("hot_row")))
-    first = left.join(hot, F.col(key) == F.col("hot_key"), "left")
-    met = F.when(F.col("hot_key").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).alias("salt"))).otherwise(F.struct(F.col(key).alias("k"), (1 + F.abs(F.hash(*left.columns)) % 4096).alias("salt")))
-    rest = right.select(F.struct(F.col(key).alias("k"), F.lit(0).alias("salt")).alias("met"), F.struct(*names).alias("row"))
+    hot = F.broadcast(right.join(hot_keys, key, "left_semi").select(F.col(key).alias("_key"), F.struct(*names).alias("_hot")))
+    others = [c for c in left.columns if c != key]
+    first = left.withColumnRenamed(key, "_key").join(hot, "_key", "left")
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.abs(F.hash("_key", *others)) % 4096)
+    rest = right.select(F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(*names).alias("_row"))
     rest = rest.hint(hint) if hint else rest
-    both = first.withColumn("met", met).join(rest, "met", "left").withColumn("found", F.coalesce("hot_row", "row")).where(F.col("found").isNotNull())
-    return both.select(*left.columns, *[F.col(f"found.{c}").alias(c) for c in names])
+    both = first.withColumn("_salt", salt).join(rest, ["_key", "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_row")).where(F.col("_found").isNotNull())
+    return both.withColumnRenamed("_key", key).select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in names])
 
 
 def components(edges: DataFrame) -> DataFrame:

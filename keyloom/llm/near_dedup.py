@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, batch, slices, staged
+from .common import CHUNK_BYTES, batch, scratch, slices, staged
 from .graph import components, unique_join
 
 #: Permutations in a band (twice as many values), and the chance that a pair at the threshold shares no band.
@@ -198,6 +198,11 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     are equal, and otherwise join their classes; a null doc_id is linked with nothing; other columns are ignored; an
     empty table gives no rows.
     """
+    with scratch(docs.sparkSession):
+        return staged(_classes(docs, words, percent), "classes", keep=True)
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     known = staged(signatures(docs, words, bands_for(percent)), "signatures")
     full = known.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     equal = full.groupBy("digest").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, staged
+from .common import batch, scratch, staged
 
 #: Base kinds in the order of their spans, then those that the method adds.
 BASE, ADDED = ("email", "ip", "card", "phone"), ("name", "secret", "ssn", "local", "account")
@@ -288,7 +288,8 @@ def mask_text(text: str, model: dict[int, dict[str, float]]) -> str:
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in `text`, all columns kept; n_chars, where there is one, follows the new text."""
-    model = fit(staged(candidates(docs), "spans"))
+    with scratch(docs.sparkSession):
+        model = fit(staged(candidates(docs), "spans"))
 
     @F.pandas_udf("string")
     def masked(texts):

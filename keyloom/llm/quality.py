@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, staged
+from .common import batch, scratch, staged
 from .sums import float_rows, partition_sums
 
 #: Random features, folds, penalties per row that cross-validation chooses from, and bins of the calibration.
@@ -163,7 +163,8 @@ def learn(known: DataFrame, labels: DataFrame) -> Model | float:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score 0.5 or more, with all their columns; texts are scored where they are."""
-    model = learn(staged(document_statistics(docs), "statistics"), labels)
+    with scratch(docs.sparkSession):
+        model = learn(staged(document_statistics(docs), "statistics"), labels)
 
     @F.pandas_udf("boolean")
     def good(texts):

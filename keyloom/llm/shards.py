@@ -138,8 +138,6 @@ class ShardStore:
             merged = tiers[full]
             new = self._merge(merged)
             self._commit(base, [r for r in runs if r not in merged] + [new])
-            if self.tier(new) <= full and len(merged) == 1:
-                return base + 1
 
     def _merge(self, runs: list[Run]) -> Run:
         """One run of the rows of several, in files of about the target size; partitions are joined, not shuffled."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, staged, tasks
+from .common import batch, release, scratch, slices, staged, tasks, unstage
 from .graph import unique_join
 from .near_dedup import _BYTE_VALUES, _powers, mix
 from .suffix_array import MOST, equal_neighbours, suffix_order
@@ -258,21 +258,32 @@ def resolve(parts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Documents (doc_id, text) -> d, k and `spans`, the repeated spans of each keyed document that has any."""
+    with scratch(docs.sparkSession):
+        return _repeated_spans(docs, length)
+
+
+def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+    spark = docs.sparkSession
     own = keyed(docs)
     same = own.select("d", "k", F.md5("text").alias("text_md5"), F.octet_length("text").alias("n"))
     firsts = staged(same.groupBy("text_md5").agg(F.min(F.struct("d", "k")).alias("first"), F.count("*").alias("n_rows")).where("n_rows > 1"), "firsts")
     weights = firsts.select("text_md5", F.col("n_rows").alias("n"))
     copies = staged(unique_join(same, firsts.select("text_md5", "first"), "text_md5", weights).where("d <> first.d or k <> first.k").select("d", "k", "n").distinct(), "copies")
-    runs = staged(index(own, length), "index")
-    flat = runs.select("d", "k", F.explode(F.arrays_zip("runs", "hashes")).alias("r")).select("d", "k", F.col("r.runs").alias("run"), F.col("r.hashes").alias("hash"))
-    counts = flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.max(F.col("run").bitwiseAND(1)).alias("again"))
+    runs = staged(index(own, length).withColumn("row", F.monotonically_increasing_id()), "index")  # numbered once, as written
+    flat = runs.select("row", F.explode(F.arrays_zip("runs", "hashes")).alias("r")).select("row", F.col("r.runs").alias("run"), F.col("r.hashes").alias("hash"))
+    texts = runs.select(F.hash("k").alias("text"), F.explode(F.arrays_zip("runs", "hashes")).alias("r"))
+    counts = texts.groupBy(F.col("r.hashes").alias("hash")).agg(F.count("*").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi"), F.max(F.col("r.runs").bitwiseAND(1).cast("int")).alias("again"))
     again = staged(counts.where("lo <> hi or again = 1").select("hash", "n"), "recurring")
+    release(spark)
     met = unique_join(flat, again.withColumn("hot", F.col("n") > HOT).select("hash", "hot"), "hash", again, hint="shuffle_hash")
-    found = met.groupBy("d", "k").agg(F.collect_list(F.struct("run", "hash", "hot")).alias("found"))
+    found = met.groupBy("row").agg(F.collect_list(F.struct("run", "hash", "hot")).alias("found")).join(runs.select("row", "d", "k"), "row").select("d", "k", "found")
     found = staged(found.join(copies.select("d", "k"), ["d", "k"], "left_anti"), "found")
-    parts = strings(own.join(found, ["d", "k"]), length).repartition(tasks(docs.sparkSession), "key").sortWithinPartitions("key")
+    del met, flat, texts, counts
+    unstage(runs)
+    release(spark)
+    parts = strings(own.join(found, ["d", "k"]), length).repartition(tasks(spark), "key").sortWithinPartitions("key")
     spans = resolve(parts, length).unionAll(copies.where(F.col("n") >= length).select("d", "k", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop")))
-    return staged(spans.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    return staged(spans.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans", keep=True)
 
 
 def merged(spans: list[dict], n: int) -> list[tuple[int, int]]:
