@@ -249,7 +249,11 @@ class Frame:
 
     def _positioned(self) -> DataFrame:
         """The rows with their dense positions."""
-        return with_position(self.df.drop(POSITION) if (SortKey(POSITION) not in self._order) else self.df.withColumnRenamed(POSITION, HIDDEN + "was"), tuple(SortKey(HIDDEN + "was", k.ascending, k.nulls_last) if k.name == POSITION else k for k in self._order), POSITION).drop(HIDDEN + "was")
+        was = HIDDEN + "was"
+        if not any(k.name == POSITION for k in self._order):
+            return with_position(self.df.drop(POSITION), self._order, POSITION)
+        order = tuple(SortKey(was, k.ascending, k.nulls_last) if k.name == POSITION else k for k in self._order)
+        return with_position(self.df.withColumnRenamed(POSITION, was), order, POSITION).drop(was)
 
     def take(self, rows: Column | Iterable[int]) -> Frame:
         """Rows by a condition, or by positions, which may repeat, count from the end and come in any order."""
@@ -324,8 +328,8 @@ class Frame:
             return self.copy()
         c = F.col(f"`{name}`")
         safe = F.when(c.isNull(), F.array(F.lit(None).cast(kind.elementType))).otherwise(c)
-        at = HIDDEN + "element"
-        others = [x for x in self.df.columns if x not in (name, at)]
+        at = f"{HIDDEN}{len(self.df.columns)}_element"
+        others = [x for x in self.df.columns if x != name]
         df = self.df.select(*self._quoted(others), F.posexplode(safe).alias(at, name))
         out = df.select(*self._quoted([x for x in self.df.columns if x != at]), at)
         return self._with(out, order=(*self._order, SortKey(at)) if self._order else ())

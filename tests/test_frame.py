@@ -172,6 +172,8 @@ def test_explode(make):
     f = make(a=[[1, 2], None, [], [3]], b=[9, 8, 7, 6])
     assert got(f.explode("a"), "a", "b") == [[1, 2, None, 3], [9, 9, 8, 6]]
     assert got(f.explode("b"), "b") == [9, 8, 7, 6]
+    nested = make(a=[[[1, 2], [3]], [[4]]])
+    assert got(nested.explode("a").explode("a"), "a") == [1, 2, 3, 4]
 
 
 # -- order, duplicates, groups
@@ -185,6 +187,7 @@ def test_sort(make):
     assert got(g.sort_values(["a", "b"]), "a", "b") == [[1, 2, 2, 3], [2, -1, 0, 0]]
     h = make(a=[1, 1, 2], b=["x", "y", "z"])
     assert got(h.sort_values("a", ascending=False), "b") == ["z", "y", "x"]  # ties reverse
+    assert h.sort_values("a", ascending=False).iloc[1] == {"a": 1, "b": "y"} and got(h.sort_values("a", ascending=False).take([0, 2]), "b") == ["z", "x"]
     assert got(h.sort_values("a", non_negative_hint=True, kind="quicksort"), "b") == ["x", "y", "z"]
     for bad in ([], "zz"):
         with pytest.raises((ValueError, KeyError)):
