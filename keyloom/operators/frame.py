@@ -288,7 +288,9 @@ class Frame:
             return ~found if invert else found
         if isinstance(kind, T.IntegralType):
             values = [int(v) for v in values]
-        found = F.coalesce(F.col(f"`{name}`").isin(*[F.lit(v).cast(kind) for v in values]) if values else F.lit(False), F.lit(False))
+        c = F.col(f"`{name}`")
+        # never null, and still a filter that scans can take over
+        found = c.isNotNull() & c.isin(*[F.lit(v).cast(kind) for v in values]) if values else F.lit(False)
         return ~found if invert else found
 
     def isin_frame(self, name: str, other: Frame, other_name: str, invert: bool = False) -> Frame:
