@@ -20,22 +20,26 @@ def partition_sums(df: DataFrame, width: int, add: Callable[[np.ndarray, pa.Reco
     spread = max(1, int(df.sparkSession.sparkContext.defaultParallelism ** 0.5 * 2))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
+        total, some = np.zeros(width), False
         for rows in batches:
             if rows.num_rows:
                 add(total, rows)
-        yield pa.RecordBatch.from_pydict({"g": pa.array([TaskContext.get().partitionId() % spread], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+                some = True
+        if some:
+            yield pa.RecordBatch.from_pydict({"g": pa.array([TaskContext.get().partitionId() % spread], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
+        total, some = np.zeros(width), False
         for rows in batches:
             for blob in rows.column("v"):
                 total += np.frombuffer(blob.as_buffer(), np.float64)
-        yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+                some = True
+        if some:  # a partition without vectors sends none to the driver
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
     sums = df.mapInArrow(first, "g int, v binary").repartition(spread, F.col("g")).mapInArrow(second, "v binary")
     total = np.zeros(width)
-    for row in sums.collect():  # `spread` rows
+    for row in sums.collect():  # `spread` rows at most
         total += np.frombuffer(row["v"], np.float64)
     return total
 
