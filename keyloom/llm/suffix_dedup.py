@@ -281,7 +281,8 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     del met, flat, texts, counts
     unstage(runs)
     release(spark)
-    parts = strings(own.join(found, ["d", "k"]), length).repartition(tasks(spark), "key").sortWithinPartitions("key")
+    once = own.join(found.dropDuplicates(["d", "k"]), ["d", "k"]).dropDuplicates(["d", "k"])  # repeated rows are one document; in place, as the join has dealt out by d and k
+    parts = strings(once, length).repartition(tasks(spark), "key").sortWithinPartitions("key")
     spans = resolve(parts, length).unionAll(copies.where(F.col("n") >= length).select("d", "k", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop")))
     return staged(spans.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans", keep=True)
 

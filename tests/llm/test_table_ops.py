@@ -266,6 +266,20 @@ def test_repeats_of_odd_rows(docs, nasty):
     assert kept.columns == twice.columns and sorted(r["text"] for r in kept.collect())[:3] == [""] * 3
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_repeated_rows_keep_one_copy_of_their_passages(docs, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(5)
+    shared, within, a, b, c = ("".join(rng.choice(list("abcdefg é"), n)) for n in (180, 150, 90, 70, 60))
+    mine, other = a + shared + within + b + within, c + shared + b
+    found = sorted(map(tuple, suffix_dedup.dedup(docs([(5, mine), (9, other), (5, mine), (5, mine)])).collect()))
+    n = len(mine.encode())
+    whole = (5, n, n, 1, hashlib.sha256(b"").hexdigest())
+    assert found == sorted([*plain_dedup([(5, mine), (9, other)], 100), whole, whole])
+    texts = [r["text"] for r in suffix_dedup.remove(docs([(5, mine), (9, other), (5, mine)])).collect()]
+    assert sum(t.count(shared) for t in texts) == 1 and sum(t.count(within) for t in texts) == 1
+
+
 def test_repeats_query(spark):
     pairs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
     assert sorted(map(tuple, queries.op8_suffix_array_dedup(spark, DATA).collect())) == plain_dedup(pairs, 100)
