@@ -4,7 +4,8 @@ Sorting all suffixes of a corpus moves several times its size.  Two exact reduct
 
 * Documents whose text another one has already are repeats as a whole.
 * Each window of `length` bytes has a minimiser: the leftmost of its GRAM-byte strings with the least hash.  Equal
-  windows have equal minimisers at equal places, so windows whose minimiser is nowhere else are unique.
+  windows have equal minimisers at equal places, so windows whose minimiser is nowhere else are unique.  Texts are told
+  apart by the 64-bit hash that is their key.
 
 The other windows are dealt out by minimiser.  Windows with the same minimiser are neighbours in the text, so they travel
 as one short string.  A task then orders the suffixes of the strings it has by difference covers (suffix_array), and the
@@ -271,7 +272,7 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     copies = staged(unique_join(same, firsts.select("text_md5", "first"), "text_md5", weights).where("d <> first.d or k <> first.k").select("d", "k", "n").distinct(), "copies")
     runs = staged(index(own, length).withColumn("row", F.monotonically_increasing_id()), "index")  # numbered once, as written
     flat = runs.select("row", F.explode(F.arrays_zip("runs", "hashes")).alias("r")).select("row", F.col("r.runs").alias("run"), F.col("r.hashes").alias("hash"))
-    texts = runs.select(F.hash("k").alias("text"), F.explode(F.arrays_zip("runs", "hashes")).alias("r"))
+    texts = runs.select(F.col("k").alias("text"), F.explode(F.arrays_zip("runs", "hashes")).alias("r"))
     counts = texts.groupBy(F.col("r.hashes").alias("hash")).agg(F.count("*").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi"), F.max(F.col("r.runs").bitwiseAND(1).cast("int")).alias("again"))
     again = staged(counts.where("lo <> hi or again = 1").select("hash", "n"), "recurring")
     release(spark)

@@ -280,6 +280,14 @@ def test_repeated_rows_keep_one_copy_of_their_passages(docs, hot, monkeypatch):
     assert sum(t.count(shared) for t in texts) == 1 and sum(t.count(within) for t in texts) == 1
 
 
+def test_passage_of_two_texts_whose_keys_share_a_short_hash(spark, docs):
+    passage = "".join(np.random.default_rng(6).choice(list("abcdefg"), 150))
+    text = F.concat(F.col("id").cast("string"), F.lit(" " + passage))
+    short = spark.range(300_000).groupBy(F.hash(F.xxhash64(text)).alias("h")).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").orderBy("h").first()
+    pairs = [(i, f"{i} {passage}") for i in sorted((short["a"], short["b"]))]
+    assert sorted(map(tuple, suffix_dedup.dedup(docs(pairs)).collect())) == plain_dedup(pairs, 100)
+
+
 def test_repeats_query(spark):
     pairs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
     assert sorted(map(tuple, queries.op8_suffix_array_dedup(spark, DATA).collect())) == plain_dedup(pairs, 100)
