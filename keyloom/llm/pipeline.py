@@ -6,9 +6,10 @@ treated as the operators define; a stage given an empty table returns an empty o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import SortKey, with_position
 from . import near_dedup, packing, pii, quality, suffix_dedup
 from .common import staged, table
 
@@ -19,12 +20,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: five-word shingles, similarity of 0.8 or more; of rows that share an id, the first by text."""
-    kept = near_dedup.classes(docs, words=5, percent=80).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        out = out.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
-    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each class: five-word shingles, similarity of 0.8 or more.
+
+    Of rows that share an id, each different text is a document, in the order of the texts; of equal rows one stays.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        rows, key = named, "doc_id"
+    else:  # numbered in the order of id and text, the texts are told apart and the first of a class is as before
+        rows, key = with_position(named.dropDuplicates(["doc_id", "text"]), (SortKey("doc_id"), SortKey("text", nulls_last=False)), "_nth"), "_nth"
+    kept = near_dedup.classes(rows.select(F.col(key).alias("doc_id"), "text"), words=5, percent=80).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    out = rows.join(kept, key, "left_semi").select(*docs.columns)
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

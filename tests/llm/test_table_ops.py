@@ -305,6 +305,17 @@ def test_stages(spark):
     assert {r["doc_id"] for r in deduped.collect()} == {c for _, _, c in plain_classes(pairs, 5, 80)}
 
 
+def test_near_dedup_decides_by_text_where_ids_repeat(spark, docs):
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(rng.choice(["red", "blue", "green", "grey", "pink"], 60)) for _ in range(4))
+    near = a + " more"
+    pairs = [(1, a), (2, near), (2, b), (2, b), (3, c), (3, c + " more"), (4, d), (5, None), (5, ""), (6, b), (None, a), (None, a)]
+    found = pipeline.minhash_near_dedup(spark, docs(pairs), DATA)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")
+    expected = [(1, a), (2, b), (3, c), (4, d), (5, None), (5, ""), (None, a), (None, a)]
+    assert found.columns == docs(pairs).columns and sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=key) == sorted(expected, key=key)
+
+
 def test_pipeline_runs(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA)
