@@ -21,7 +21,7 @@ PIVOTS, SCALE = 24, 64
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 #: Vectors that the pivots are chosen from, at most; any choice gives the same results.
 PIVOT_SAMPLE = 2048
-SCORED = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+SCORED = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def usable(embedding: Column) -> Column:
@@ -107,7 +107,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     vec_id, each is a candidate (of all queries but those with its id) and each query gives its own ranks under its id;
     ties go to the smaller vec_id; scores outside 64 bits are cut to the nearest; other columns are ignored.
     """
-    kept = staged(vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query"), F.size("embedding").alias("dim")), "vectors")
+    kept = staged(vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("query")), "vectors")  # numbered once, as written
     counts = {r["dim"]: (r["n"], r["q"]) for r in kept.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q")).collect()}  # one row per length
     sizes = [(dim, -(-n // ROW_BLOCK), -(-q // QUERY_BLOCK)) for dim, (n, q) in counts.items() if q]
     spark = kept.sparkSession
@@ -132,14 +132,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             as_int = np.vectorize(int, otypes=[object])
             q, x = (as_int(v) if v.size else v for v in (q, x))
         row_ids, query_ids = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        numbers = left.column("query").to_numpy()
+        out: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "score": []}
         for at, best, scores in search(q, query_ids, x, row_ids, pivots.get(dim, np.zeros((0, dim))), k):
+            out["query"].append(np.full(len(best), numbers[at]))
             out["query_id"].append(np.full(len(best), query_ids[at]))
             out["vec_id"].append(row_ids[best])
             out["score"].append(np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in scores], np.int64))
         return pa.table({name: np.concatenate(v) for name, v in out.items()}, schema=SCORED)
 
-    asked, rows = (df.select(*[F.col(c).alias(c) for c in (*one, "vec_id", "embedding")]) for df in (asked, rows))  # two frames, not one joined with itself
-    found = asked.groupBy(*one).cogroup(rows.groupBy(*one)).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    asked, rows = (df.select(*[F.col(c).alias(c) for c in (*one, *more, "vec_id", "embedding")]) for df, more in ((asked, ["query"]), (rows, [])))  # two frames, not one joined with itself
+    found = asked.groupBy(*one).cogroup(rows.groupBy(*one)).applyInArrow(run, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -138,6 +138,18 @@ def test_top_k_equals_brute_force(spark, seed, monkeypatch):
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_queries_of_one_id_give_their_own_ranks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-9, 9, (2, 4)).astype(float).tolist()
+    others = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(1, 60)]
+    frame = spark.createDataFrame([(0, a), (0, a), (0, b), *others], "vec_id long, embedding array<float>")
+    expected = [x for v in (a, a, b) for x in plain_top([(0, v), *((i, w) for i, w in others if i % 20)], 20)]
+    found = topk.top_k(frame.where("vec_id = 0 or vec_id % 20 <> 0"), F.col("vec_id") == 0, 20).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_search_stops_before_all_candidates():
     rng = np.random.default_rng(3)
     centres = rng.integers(-400, 400, (20, 16))
