@@ -31,7 +31,8 @@ def concat(*frames: Frame, ignore_index: bool = False, strict: bool = True, stri
     """Rows of all frames, one frame after the other, columns by name.
 
     Strict frames have the same columns, in any order, and the same index; otherwise columns that a frame lacks are
-    filled as in a join.  Types are widened before the union.
+    filled as in a join.  Types are widened before the union.  Each frame's order is carried along; if a frame has none,
+    neither has the result.
     """
     if not frames:
         raise ValueError("nothing to concatenate")
@@ -46,14 +47,23 @@ def concat(*frames: Frame, ignore_index: bool = False, strict: bool = True, stri
     for frame in frames:
         for name, kind in frame.dtype.items():
             kinds[name] = promoted(kinds[name], kind) if name in kinds else kind
-    ordered = all(len(f._order) == 1 and f._order[0] == SortKey(POSITION) for f in frames)
+    ordered = all(f._order for f in frames)
+    plain = all(f._order == (SortKey(POSITION),) for f in frames)
+    # each frame's keys as they are, before types are widened; null in the rows of the others, which the part number sets apart
+    keys = [SortKey(POSITION)] if plain else [SortKey(f"{HIDDEN}frame{i}_{j}", k.ascending, k.nulls_last) for i, f in enumerate(frames) for j, k in enumerate(f._order)]
+    source = [(i, k.name, f.df.schema[k.name].dataType) for i, f in enumerate(frames) for k in f._order]
+
+    def order_of(i: int) -> list:
+        if not ordered:
+            return []
+        own = [F.col(POSITION)] if plain else [(F.col(f"`{name}`") if at == i else F.lit(None).cast(kind)).alias(key.name) for key, (at, name, kind) in zip(keys, source, strict=True)]
+        return [F.lit(i).alias(HIDDEN + "frame"), *own]
 
     def part(i: int, frame: Frame):
-        df = frame.df.select(*[F.col(f"`{n}`").cast(k).alias(n) if n in frame.columns else miss_fill(k, string_fill).alias(n) for n, k in kinds.items()], *([F.lit(i).alias(HIDDEN + "part"), F.col(POSITION)] if ordered else []))
-        return df
+        return frame.df.select(*[F.col(f"`{n}`").cast(k).alias(n) if n in frame.columns else miss_fill(k, string_fill).alias(n) for n, k in kinds.items()], *order_of(i))
 
     union = reduce(lambda a, b: a.unionByName(b), [part(i, f) for i, f in enumerate(frames)])
-    return Frame(union, index=() if ignore_index else first._index, order=(HIDDEN + "part", POSITION) if ordered else ())
+    return Frame(union, index=() if ignore_index else first._index, order=(HIDDEN + "frame", *keys) if ordered else ())
 
 
 def intersect(left: Frame, left_name: str, right: Frame, right_name: str, out: str | None = None) -> Frame:

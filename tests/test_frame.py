@@ -303,6 +303,22 @@ def test_concat(make):
     assert bag(intersect(f, "a", make(z=[3, 1, 9, 3]), "z")) == [(1,), (3,)]
 
 
+def test_concat_keeps_the_order_of_sorted_frames(spark, make):
+    f = make(a=[2, None, 1, 3], b=["x", "y", "z", "x"])
+    up, down = f.sort_values("a"), f.sort_values("a", ascending=False)
+    by_column = Frame(spark.createDataFrame([(9, "p"), (10, "x"), (-1, "q")], "a long, b string"), order="a")
+    whole = concat(up, by_column, f, down)
+    expected = [v for g in (up, by_column, f, down) for v in got(g, "b")]
+    assert got(whole, "b") == expected and got(whole.iloc[3:8], "b") == expected[3:8]
+    assert got(concat(whole, up), "b") == expected + got(up, "b")
+    first, last = (got(whole.drop_duplicates("b", keep=k), "a", "b") for k in ("first", "last"))
+    rows = [r for g in (up, by_column, f, down) for r in g.iterrows("a", "b")]
+    assert list(zip(*first, strict=True)) == [r for i, r in enumerate(rows) if r[1] not in [x[1] for x in rows[:i]]]
+    assert list(zip(*last, strict=True)) == [r for i, r in enumerate(rows) if r[1] not in [x[1] for x in rows[i + 1 :]]]
+    widened = concat(by_column, Frame(spark.createDataFrame([("5",)], "a string"), order="a"), strict=False)
+    assert got(widened, "a") == ["-1", "9", "10", "5"]
+
+
 def test_index(make):
     f = make(a=[1, 2, 2], b=["x", "y", "z"], index=("a", "b"))
     i = f.index
