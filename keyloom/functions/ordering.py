@@ -32,7 +32,31 @@ def columns(order: tuple[SortKey, ...], reverse: bool = False) -> list[Column]:
     return [(k.reversed() if reverse else k).column() for k in order]
 
 
+def order_value(order: tuple[SortKey, ...]) -> tuple[Column, bool] | None:
+    """One comparable value for an order, and whether it grows along it; None where there is no order or its directions are mixed."""
+    directions = {k.ascending for k in order}
+    if len(directions) != 1:
+        return None
+    up = directions.pop()
+
+    def part(k: SortKey) -> Column:
+        c = F.col(f"`{k.name}`")
+        return F.struct(c.isNull() if k.nulls_last == up else c.isNotNull(), c)
+
+    return F.struct(*[part(k) for k in order]), up
+
+
 _ID_BITS = 33  # of monotonically_increasing_id, below the partition's number
+#: Orders that end in one of these tell all rows apart.
+UNIQUE = frozenset(("__kl_position", "__kl_row"))
+
+
+def _tie_break(df: DataFrame, order: tuple[SortKey, ...]) -> list[Column]:
+    """A hash of the row as the last key, so that many rows with equal keys are dealt out over several partitions."""
+    if any(k.name in UNIQUE for k in order):
+        return []
+    plain = [f.name for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return [F.xxhash64(*[F.col(f"`{n}`") for n in plain])] if plain else []
 
 
 def with_position(df: DataFrame, order: tuple[SortKey, ...], name: str) -> DataFrame:
@@ -44,7 +68,8 @@ def with_position(df: DataFrame, order: tuple[SortKey, ...], name: str) -> DataF
     if not order:
         raise ValueError("rows without an order have no positions")
     at = "__kl_at"
-    laid = written(df.repartitionByRange(*columns(order)).sortWithinPartitions(*columns(order)).withColumn(at, F.monotonically_increasing_id()), "positions")
+    keys = [*columns(order), *_tie_break(df, order)]
+    laid = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "positions")
     part = F.shiftrightunsigned(F.col(at), _ID_BITS)
     sizes = {r["part"]: r["n"] for r in laid.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a partition
     before, total = {}, 0
@@ -54,4 +79,4 @@ def with_position(df: DataFrame, order: tuple[SortKey, ...], name: str) -> DataF
     offsets = laid.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "__kl_part long, __kl_before long")
     numbered = laid.join(F.broadcast(offsets), part == F.col("__kl_part"))  # one row a partition: small by construction
     position = F.col(at).bitwiseAND(F.lit((1 << _ID_BITS) - 1)) + F.col("__kl_before")
-    return numbered.select(*df.columns, position.alias(name))
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], position.alias(name))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
@@ -11,16 +12,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import canonical, null_pred
-from ..functions.ordering import SortKey, columns, with_position
+from ..functions.ordering import SortKey, columns, order_value, with_position
 
 HIDDEN = "__kl_"
 POSITION = HIDDEN + "position"
+#: Positions from either end that a top-k answers; those beyond take the dense positions of all rows.
+TOP = 10_000
+#: Positions that a caller's list may have to be broadcast: 16 bytes each.
+BROADCAST_ROWS = 1 << 20
+#: Marks Arrow fields whose strings are the JSON of a variant column.
+JSON_FIELD = {b"keyloom": b"json"}
+
+
+def _arrow(values: Any) -> tuple[pa.Array | pa.ChunkedArray, bool]:
+    """Values as an Arrow array; dicts and cells of several types as JSON, which the flag tells."""
+    if isinstance(values, (pa.Array, pa.ChunkedArray)):
+        return values, False
+    if type(values).__module__ == "numpy" and getattr(values, "dtype", None) is not None and values.dtype.kind != "O":
+        return pa.array(values), False
+    values = list(values)
+    if not any(isinstance(v, dict) for v in values):
+        try:
+            return pa.array(values), False
+        except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError):
+            pass
+    plain = lambda x: x.tolist() if hasattr(x, "tolist") else list(x)
+    return pa.array([None if v is None else json.dumps(v, default=plain, ensure_ascii=False, allow_nan=False) for v in values], pa.string()), True
+
+
+def _mask(rows: Any) -> list[bool] | None:
+    """rows as booleans, or None where they are positions; a null is False."""
+    if isinstance(rows, (pa.Array, pa.ChunkedArray)):
+        return [bool(x) for x in rows.to_pylist()] if pa.types.is_boolean(rows.type) else None
+    kind = getattr(getattr(rows, "dtype", None), "kind", None)
+    if kind is not None:
+        return rows.tolist() if kind == "b" else None
+    if isinstance(rows, (list, tuple)) and rows and all(isinstance(x, bool) or type(x).__name__ in ("bool", "bool_") for x in rows):
+        return [bool(x) for x in rows]
+    return None
 
 
 class Frame:
     """Lazy: methods extend the plan.  Those that return numbers or rows (len, shape, empty, nonemin, iloc[int]) run it."""
 
-    __slots__ = ("df", "_index", "_order")
+    __slots__ = ("df", "_index", "_order", "_laid")
 
     def __init__(self, df: DataFrame, index: str | Iterable[str] = (), order: str | Iterable[str | SortKey] = ()):
         index = (index,) if isinstance(index, str) else tuple(index)
@@ -28,6 +63,7 @@ class Frame:
         self.df = df
         self._index = index
         self._order = tuple(k if isinstance(k, SortKey) else SortKey(k) for k in order)
+        self._laid: DataFrame | None = None
         for name in [*index, *(k.name for k in self._order)]:
             if name not in df.columns:
                 raise KeyError(name)
@@ -36,7 +72,10 @@ class Frame:
 
     @classmethod
     def from_columns(cls, spark: SparkSession, data: Mapping[str, Any] | Iterable[Any], columns: Iterable[str] | None = None, index: str | Iterable[str] = (), dtype: Mapping[str, str] | None = None) -> Frame:
-        """From a mapping of names to values, or from values with names ("0", "1", ... by default); rows keep their order."""
+        """From a mapping of names to values, or from values with names ("0", "1", ... by default); rows keep their order.
+
+        Dicts, and values of several types in one column, become a variant column.
+        """
         if isinstance(data, Mapping):
             if columns is not None:
                 raise ValueError("a mapping names its columns itself")
@@ -47,16 +86,17 @@ class Frame:
             if len(names) != len(values):
                 raise ValueError(f"{len(values)} columns and {len(names)} names")
             named = dict(zip(names, values, strict=True))
-        arrays = {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in named.items()}
-        sizes = {len(v) for v in arrays.values()}
+        arrays = {k: _arrow(v) for k, v in named.items()}
+        sizes = {len(v) for v, _ in arrays.values()}
         if len(sizes) > 1:
             raise ValueError(f"columns of different lengths: {sorted(sizes)}")
-        out = cls.from_arrow(spark, pa.table(arrays), index)
+        fields = [pa.field(k, v.type, metadata=JSON_FIELD if as_json else None) for k, (v, as_json) in arrays.items()]
+        out = cls.from_arrow(spark, pa.Table.from_arrays([v for v, _ in arrays.values()], schema=pa.schema(fields)), index)
         return out.astype(dict(dtype)) if dtype else out
 
     @classmethod
     def from_arrow(cls, spark: SparkSession, table: pa.Table, index: str | Iterable[str] = ()) -> Frame:
-        """From an Arrow table, whose row order is kept; TypeError for anything else."""
+        """From an Arrow table, whose row order is kept; TypeError for anything else.  Fields marked as JSON become variants."""
         if not isinstance(table, pa.Table):
             raise TypeError(f"expected an Arrow table, not {type(table).__name__}")
         columns_, fields = [], []
@@ -80,24 +120,28 @@ class Frame:
             df = spark.createDataFrame(whole)
         finally:
             spark.conf.set("spark.sql.timestampType", held)
+        variants = [f.name for f in table.schema if (f.metadata or {}).get(b"keyloom") == JSON_FIELD[b"keyloom"]]
+        df = df.withColumns({n: F.parse_json(F.col(f"`{n}`")) for n in variants}) if variants else df
         return cls(df, index, (POSITION,))
 
     def to_arrow(self) -> pa.Table:
-        """All columns, those of the index included, in the order of the rows.  The rows come to the driver."""
-        return self._sorted().select(*self._quoted(self.columns)).toArrow()
+        """All columns, those of the index included, in the order of the rows; variants as JSON.  The rows come to the driver."""
+        variants = {n for n, kind in self.dtype.items() if isinstance(kind, T.VariantType)}
+        table = self._sorted().select(*[F.to_json(F.col(f"`{n}`")).alias(n) if n in variants else F.col(f"`{n}`") for n in self.columns]).toArrow()
+        return table.cast(pa.schema([f.with_metadata(JSON_FIELD) if f.name in variants else f for f in table.schema])) if variants else table
 
     def _sorted(self) -> DataFrame:
         return self.df.orderBy(*columns(self._order)) if self._order else self.df
 
     def _with(self, df: DataFrame, index: tuple[str, ...] | None = None, order: tuple[SortKey, ...] | None = None) -> Frame:
         out = Frame.__new__(type(self))
-        out.df, out._index, out._order = df, self._index if index is None else index, self._order if order is None else order
+        out.df, out._index, out._order, out._laid = df, self._index if index is None else index, self._order if order is None else order, None
         return out
 
     def _into(self, other: Frame, inplace: bool) -> Frame | None:
         if not inplace:
             return other
-        self.df, self._index, self._order = other.df, other._index, other._order
+        self.df, self._index, self._order, self._laid = other.df, other._index, other._order, other._laid
         return None
 
     @staticmethod
@@ -174,9 +218,9 @@ class Frame:
         return str(self)
 
     def iterrows(self, *names: str) -> Iterator[tuple]:
-        """Rows as tuples in their order, a partition at a time."""
+        """Rows as tuples in their order, a partition at a time; variants as Python values."""
         names = self._need(names or self.columns)
-        return (tuple(r) for r in self._sorted().select(*self._quoted(names)).toLocalIterator())
+        return (tuple(x.toPython() if isinstance(x, T.VariantVal) else x for x in r) for r in self._sorted().select(*self._quoted(names)).toLocalIterator())
 
     def copy(self, shallow: bool = False) -> Frame:
         return self._with(self.df)
@@ -247,25 +291,48 @@ class Frame:
 
     # -- rows -------------------------------------------------------------------------------------------------
 
-    def _positioned(self) -> DataFrame:
-        """The rows with their dense positions."""
-        was = HIDDEN + "was"
+    def _positioned(self, names: Iterable[str] | None = None) -> DataFrame:
+        """The rows, or some of their columns, with their dense positions; those of all columns are laid out once a frame."""
+        if self._laid is not None:
+            return self._laid
+        df, was = self.df, HIDDEN + "was"
+        if names is not None:
+            wanted = [*dict.fromkeys([*names, *(k.name for k in self._order)])]
+            df = df.select(*self._quoted(wanted))
         if not any(k.name == POSITION for k in self._order):
-            return with_position(self.df.drop(POSITION), self._order, POSITION)
-        order = tuple(SortKey(was, k.ascending, k.nulls_last) if k.name == POSITION else k for k in self._order)
-        return with_position(self.df.withColumnRenamed(POSITION, was), order, POSITION).drop(was)
+            laid = with_position(df.drop(POSITION), self._order, POSITION)
+        else:
+            order = tuple(SortKey(was, k.ascending, k.nulls_last) if k.name == POSITION else k for k in self._order)
+            laid = with_position(df.withColumnRenamed(POSITION, was), order, POSITION).drop(was)
+        if names is None:
+            self._laid = laid
+        return laid
+
+    def _asked(self, table: pa.Table) -> DataFrame:
+        """A caller's own list as a table, broadcast while it is short."""
+        df = self.df.sparkSession.createDataFrame(table)
+        return F.broadcast(df) if len(table) <= BROADCAST_ROWS else df
+
+    def take(self, rows: Column | Iterable[bool] | Iterable[int]) -> Frame:
+        """Rows by a condition, by one boolean a row, or by positions, which may repeat, count from the end and come in any order.
 
-    def take(self, rows: Column | Iterable[int]) -> Frame:
-        """Rows by a condition, or by positions, which may repeat, count from the end and come in any order."""
+        ValueError for booleans of another number than the rows.
+        """
         if isinstance(rows, Column):
             return self._with(self.df.withColumn(HIDDEN + "mask", rows).where(F.col(HIDDEN + "mask")).drop(HIDDEN + "mask"))
-        wanted = [int(i) for i in rows]
-        spark = self.df.sparkSession
+        mask = _mask(rows)
+        if mask is not None:
+            n = len(self)
+            if len(mask) != n:
+                raise ValueError(f"{len(mask)} booleans for {n} rows")
+            asked = self._asked(pa.table({HIDDEN + "p": pa.array([i for i, m in enumerate(mask) if m], pa.int64())}))
+            return self._with(self._positioned().join(asked, F.col(POSITION) == F.col(HIDDEN + "p"), "left_semi"), order=(SortKey(POSITION),))
+        wanted = [int(i) for i in (rows.to_pylist() if isinstance(rows, (pa.Array, pa.ChunkedArray)) else rows)]
         if any(i < 0 for i in wanted):
             n = len(self)
             wanted = [i + n if i < 0 else i for i in wanted]
-        asked = spark.createDataFrame(list(enumerate(wanted)), f"`{HIDDEN}k` long, `{HIDDEN}p` long")  # the caller's own list
-        out = self._positioned().join(F.broadcast(asked), F.col(POSITION) == F.col(HIDDEN + "p")).drop(POSITION, HIDDEN + "p").withColumnRenamed(HIDDEN + "k", POSITION)
+        asked = self._asked(pa.table({HIDDEN + "k": pa.array(range(len(wanted)), pa.int64()), HIDDEN + "p": pa.array(wanted, pa.int64())}))
+        out = self._positioned().join(asked, F.col(POSITION) == F.col(HIDDEN + "p")).drop(POSITION, HIDDEN + "p").withColumnRenamed(HIDDEN + "k", POSITION)
         return self._with(out, order=(SortKey(POSITION),))
 
     def filter(self, condition: Column) -> Frame:
@@ -321,20 +388,26 @@ class Frame:
     def sample(self, n: int | None = None, frac: float | None = None, replace: bool = False, weights: str | None = None, ignore_index: bool = False, seed: int | None = None) -> Frame:
         from .sampling import sample
 
-        return sample(self, n, frac, replace, weights, seed)
+        out = sample(self, n, frac, replace, weights, seed)
+        return out._with(out.df, index=()) if ignore_index else out
 
     def explode(self, name: str, ignore_index: bool = False) -> Frame:
-        """A row for each element; empty arrays vanish, nulls stay as one row."""
+        """A row for each element; empty arrays vanish, nulls stay as one row, and so do single values among the lists of a variant column."""
         kind = self.df.schema[self._need([name])[0]].dataType
-        if not isinstance(kind, T.ArrayType):
-            return self.copy()
+        index = () if ignore_index else self._index
         c = F.col(f"`{name}`")
-        safe = F.when(c.isNull(), F.array(F.lit(None).cast(kind.elementType))).otherwise(c)
+        if isinstance(kind, T.ArrayType):
+            safe = F.when(c.isNull(), F.array(F.lit(None).cast(kind.elementType))).otherwise(c)
+        elif isinstance(kind, T.VariantType):
+            listed = F.startswith(F.schema_of_variant(c), F.lit("ARRAY"))
+            safe = F.when(c.isNull(), F.array(F.lit(None).cast(kind))).when(listed, F.try_variant_get(c, "$", "array<variant>")).otherwise(F.array(c))
+        else:
+            return self._with(self.df, index=index)
         at = f"{HIDDEN}{len(self.df.columns)}_element"
         others = [x for x in self.df.columns if x != name]
         df = self.df.select(*self._quoted(others), F.posexplode(safe).alias(at, name))
         out = df.select(*self._quoted([x for x in self.df.columns if x != at]), at)
-        return self._with(out, order=(*self._order, SortKey(at)) if self._order else ())
+        return self._with(out, index=index, order=(*self._order, SortKey(at)) if self._order else ())
 
     # -- order, duplicates, groups ------------------------------------------------------------------------------
 
@@ -356,7 +429,7 @@ class Frame:
                 df = df.withColumn(key, canonical(F.col(f"`{name}`"), df.schema[name].dataType))
             keys.append(SortKey(key, ascending, na_position == "last"))
         order = (*keys, *(k if ascending else k.reversed() for k in self._order))
-        return self._into(self._with(df.orderBy(*columns(order)), order=order), inplace)
+        return self._into(self._with(df.orderBy(*columns(order)), index=() if ignore_index else None, order=order), inplace)
 
     def sort_index(self, level: int | Iterable[int] | None = None, **kwargs: Any) -> Frame | None:
         if level is None:
@@ -386,11 +459,25 @@ class Frame:
         return self._nth(names, keep) > 1
 
     def drop_duplicates(self, subset: str | Iterable[str] | None = None, keep: str = "first", inplace: bool = False, ignore_index: bool = False) -> Frame | None:
-        """One row for each value of some columns; of all columns, whole rows are aggregated instead of ranked."""
-        if subset is None:
-            out = self._with(self.df.select(*self._quoted(self.columns)).distinct(), order=())
+        """One row for each value of some columns or of all, the first or last in the order of the frame, which stays; NaN and NULL are one value.
+
+        Rows of a key meet as a minimum, which combines before the shuffle: no task holds a whole group.
+        """
+        names = self._need(self.columns if subset is None else [subset] if isinstance(subset, str) else subset)
+        if keep not in ("first", "last"):
+            raise ValueError(f"keep {keep!r}")
+        keys = [canonical(F.col(f"`{n}`"), self.df.schema[n].dataType).alias(n) for n in names]
+        index = () if ignore_index else None
+        value = order_value(self._order)
+        if not self._order and set(names) == set(self.columns):
+            out = self._with(self.df.select(*keys).distinct(), index=index)
+        elif self._order and value is None:  # directions are mixed
+            out = self._with(self.take(~self.duplicated(names, keep)).df, index=index)
         else:
-            out = self.take(~self.duplicated(subset, keep))
+            row = F.struct(*self._quoted(self.df.columns))
+            pick = F.any_value(row) if value is None else (F.min_by if (keep == "first") == value[1] else F.max_by)(row, value[0])
+            grouped = self.df.groupBy(*[k.alias(f"{HIDDEN}d{i}") for i, k in enumerate(keys)]).agg(pick.alias(HIDDEN + "row"))
+            out = self._with(grouped.select(HIDDEN + "row.*"), index=index)
         return self._into(out, inplace)
 
     def unique(self, name: str, unordered: bool = False) -> Frame:
@@ -453,20 +540,45 @@ class Iloc:
         frame = self._frame
         if isinstance(key, bool) or not isinstance(key, (int, slice, list, tuple)):
             raise TypeError(f"positions are numbers, slices or lists, not {type(key).__name__}")
+        if not frame._order:
+            raise ValueError("rows without an order have no positions")
         if isinstance(key, int):
-            n = len(frame) if key < 0 else None
-            at = key + n if n is not None else key
-            row = frame._positioned().where(F.col(POSITION) == at).select(*frame._quoted(frame.columns)).first() if at >= 0 else None
+            row = self._row(key)
             if row is None:
                 raise IndexError(key)
             return row.asDict()
         if isinstance(key, slice):
-            if any(x is not None and x < 0 for x in (key.start, key.stop, key.step)):
-                return frame.take(range(*key.indices(len(frame))))
-            start, step = key.start or 0, key.step or 1
-            p = F.col(POSITION)
-            mask = (p >= start) & ((p - start) % step == 0)
-            if key.stop is not None:
-                mask &= p < key.stop
-            return frame._with(frame._positioned().where(mask), order=(SortKey(POSITION),))
+            return self._slice(key)
         return frame.take(key)
+
+    def _row(self, key: int) -> Any:
+        """The row at a position; near either end it comes from a top-k, without positions for the others."""
+        frame = self._frame
+        at = key if key >= 0 else -key - 1
+        names = frame._quoted(frame.columns)
+        if at < TOP and frame._laid is None:
+            return frame.df.orderBy(*columns(frame._order, key < 0)).offset(at).limit(1).select(*names).first()
+        at = key if key >= 0 else key + len(frame)
+        return frame._positioned().where(F.col(POSITION) == at).select(*names).first() if at >= 0 else None
+
+    def _slice(self, key: slice) -> Frame:
+        """Rows by arithmetic on their positions, of which the hidden column keeps the old ones."""
+        if key.step == 0:
+            raise ValueError("a slice has a step")
+        frame, p = self._frame, F.col(POSITION)
+        start, stop, step = key.start or 0, key.stop, key.step or 1
+        if start >= 0 and step > 0 and stop is not None and 0 <= stop <= TOP and frame._laid is None:
+            near = frame._with(frame._sorted().limit(stop))  # at most TOP rows, which one task numbers
+            was = [SortKey(HIDDEN + "was", k.ascending, k.nulls_last) if k.name == POSITION else k for k in frame._order]
+            df = near.df.withColumnRenamed(POSITION, HIDDEN + "was")
+            df = df.withColumn(POSITION, (F.row_number().over(Window.orderBy(*columns(tuple(was)))) - 1).cast("long")).drop(HIDDEN + "was")
+            return frame._with(df.where((p >= start) & ((p - start) % step == 0)), order=(SortKey(POSITION),))
+        if start < 0 or step < 0 or stop is not None and stop < 0:
+            wanted = range(*key.indices(len(frame)))
+            low, high = (min(wanted[0], wanted[-1]), max(wanted[0], wanted[-1])) if wanted else (0, -1)
+        else:
+            low, high = start, None if stop is None else stop - 1
+        mask = (p >= low) & ((p - low) % abs(step) == 0)
+        if high is not None:
+            mask &= p <= high
+        return frame._with(frame._positioned().where(mask), order=(SortKey(POSITION, step > 0, step > 0),))

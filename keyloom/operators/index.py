@@ -85,15 +85,19 @@ class Index:
     def monotonic(self, increasing: bool = True) -> DataFrame:
         """One row: whether the keys never fall (or rise), level by level, in the order of the rows; false with nulls among several rows.
 
-        Rows are numbered, then each meets its predecessor within a block of positions; blocks are joined by their ends.
+        Keys that lead the order of the rows are sorted as they are.  Others are numbered, without the other columns, and
+        each meets its predecessor within a block of positions; blocks are joined by their ends.
         """
         frame = self._frame
-        df = frame._positioned()
+        null = reduce(lambda a, b: a | b, [null_pred(F.col(f"`{n}`"), frame.df.schema[n].dataType) for n in self.names], F.lit(False))
+        if tuple((k.name, k.ascending) for k in frame.order[: self.nlevels]) == tuple((n, increasing) for n in self.names):
+            some = frame.df.agg(F.bool_or(null).alias("null"), F.count("*").alias("n"))
+            return some.select(((F.col("n") < 2) | ~F.col("null")).alias("mono"))
+        df = frame._positioned(self.names)
         size = 1 << 16
         block = F.floor(F.col(POSITION) / size)
         w = Window.partitionBy(block).orderBy(POSITION)
         key, before = F.struct(*self.keys()), F.lag(F.struct(*self.keys())).over(w)
-        null = reduce(lambda a, b: a | b, [null_pred(F.col(f"`{n}`"), frame.df.schema[n].dataType) for n in self.names], F.lit(False))
         fits = before <= key if increasing else before >= key
         inside = df.select(block.alias("block"), F.col(POSITION).alias("at"), key.alias("key"), null.alias("null"), F.coalesce(fits, F.lit(True)).alias("fits"))
         blocks = inside.groupBy("block").agg(F.bool_and(F.col("fits")).alias("fits"), F.bool_or("null").alias("null"), F.min_by("key", "at").alias("first"), F.max_by("key", "at").alias("last"), F.count("*").alias("n"))
@@ -101,13 +105,13 @@ class Index:
         both = blocks.join(then, "block", "left")
         edge = F.col("before") <= F.col("first") if increasing else F.col("before") >= F.col("first")
         whole = both.agg(F.bool_and(F.col("fits") & F.coalesce(edge, F.lit(True))).alias("fits"), F.bool_or("null").alias("null"), F.sum("n").alias("n"))
-        return whole.select((F.coalesce(F.col("n"), F.lit(0)) < 2) .alias("short"), F.col("fits"), F.col("null")).select((F.col("short") | (F.col("fits") & ~F.col("null"))).alias("mono"))
+        return whole.select((F.coalesce(F.col("n"), F.lit(0)) < 2).alias("short"), F.col("fits"), F.col("null")).select((F.col("short") | (F.col("fits") & ~F.col("null"))).alias("mono"))
 
     def diff(self, other: Index, positions: bool = True) -> DataFrame:
         """Keys that the other index lacks, once each, with the position of the first: an anti join in which null meets null."""
         if self.nlevels != other.nlevels:
             raise ValueError("indexes of different depth")
-        left = self._frame._positioned() if positions else self._frame.df
+        left = self._frame._positioned(self.names) if positions else self._frame.df
         there = other._frame.df.select(*[k.alias(f"__kl_o{i}") for i, k in enumerate(other.keys())]).distinct()
         same = reduce(lambda a, b: a & b, [canonical(F.col(f"`{n}`"), self._frame.df.schema[n].dataType).eqNullSafe(F.col(f"__kl_o{i}")) for i, n in enumerate(self.names)])
         rest = left.join(there, same, "left_anti")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.nulls import canonical, miss_fill
+from ..functions.ordering import SortKey
 from .frame import HIDDEN, Frame
 
 HOW = ("left", "inner", "outer", "right")
@@ -19,7 +20,8 @@ def join(*frames: Frame, how: str = "left", suffixes: Iterable[str] = (), string
     A null key meets a null key.  Where a side has no row, its integers are 0, its booleans False and all else NULL.
     Columns of the same name without suffixes overlay one another: the later frame's value where it has a row.  Suffix i
     belongs to argument i.  "right" is "left" from the last frame on.  validate="m:1" refuses repeated keys in any frame
-    but the first; without it they multiply rows.  The result has no order of its own.
+    but the first; without it they multiply rows.  The rows are in the order of their keys and, of one key, in that of
+    the first frame; like every order it costs nothing until something asks for it.
 
     Spark plans each step as an equi-join and picks broadcast, sort-merge or hash by size; adaptive execution splits
     skewed keys.
@@ -58,6 +60,8 @@ def join(*frames: Frame, how: str = "left", suffixes: Iterable[str] = (), string
         frame, suffix = parts[i]
         keys = [canonical(F.col(f"`{n}`"), k).alias(f"{HIDDEN}{i}_k{j}") for j, (n, k) in enumerate(zip(frame._index, kinds, strict=True))]
         payload = [c for c in frame.columns if c not in frame._index]
+        if i == 0:
+            keys += [F.col(f"`{k.name}`").alias(f"{HIDDEN}o{j}") for j, k in enumerate(frame._order)]
         return frame.df.select(*keys, *[F.col(f"`{c}`").alias(f"{HIDDEN}{i}_c{j}") for j, c in enumerate(payload)], F.lit(True).alias(f"{HIDDEN}{i}")), [(c, c if suffix is None else f"{c}{suffix}", frame.df.schema[c].dataType) for c in payload]
 
     joined, payload = prepared(0)
@@ -82,4 +86,6 @@ def join(*frames: Frame, how: str = "left", suffixes: Iterable[str] = (), string
             else:
                 types[name] = kind
                 out[name] = value if how == "inner" or how == "left" and i == 0 else F.when(here, value).otherwise(miss_fill(kind, string_fill))
-    return Frame(joined.select(*[F.col(f"{HIDDEN}k{j}").alias(n) for j, n in enumerate(names)], *[c.alias(n) for n, c in out.items()]), index=names)
+    order = [SortKey(f"{HIDDEN}o{j}", k.ascending, k.nulls_last) for j, k in enumerate(parts[0][0]._order)]
+    done = joined.select(*[F.col(f"{HIDDEN}k{j}").alias(n) for j, n in enumerate(names)], *[c.alias(n) for n, c in out.items()], *[k.name for k in order])
+    return Frame(done, index=names, order=(*names, *order))

@@ -28,6 +28,8 @@ def sample(frame: Frame, n: int | None = None, frac: float | None = None, replac
     if not replace:
         key = random if weights is None else F.when(F.col(f"`{weights}`") > 0, -F.log(1 - random) / F.col(f"`{weights}`"))
         return frame._with(frame.df.withColumn(HIDDEN + "draw", key).orderBy(F.col(HIDDEN + "draw").asc_nulls_last()).limit(n).drop(HIDDEN + "draw"))
+    if not frame._order:  # any order will do
+        frame = frame._with(frame.df.withColumn(HIDDEN + "any", F.monotonically_increasing_id()), order=(SortKey(HIDDEN + "any"),))
     rows = frame._positioned()
     draws = frame.df.sparkSession.range(n).withColumn(HIDDEN + "u", random)
     if weights is None:
@@ -42,14 +44,20 @@ def sample(frame: Frame, n: int | None = None, frac: float | None = None, replac
 def _ranges(rows: DataFrame, weights: str, buckets: int, whole: float) -> tuple[DataFrame, Column]:
     """The range of running weight that each position owns, in every bucket that it meets, and the condition on which a draw falls into it.
 
-    Running sums are taken in blocks of positions and then over the blocks' totals, one row each.
+    Running sums are taken in blocks of positions, over the totals of the blocks in blocks of blocks, and over the totals
+    of those, which are one row for BLOCK * BLOCK positions.
     """
-    w, block = F.col(f"`{weights}`").cast("double"), F.floor(F.col(POSITION) / BLOCK)
-    weighed = rows.select(F.col(POSITION).alias(HIDDEN + "p"), F.coalesce(w, F.lit(0.0)).alias("w"), block.alias("block"))
-    totals = weighed.groupBy("block").agg(F.sum("w").alias("total"))
-    before = totals.select("block", F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    inside = F.coalesce(F.sum("w").over(Window.partitionBy("block").orderBy(HIDDEN + "p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranges = weighed.withColumn("inside", inside).join(before, "block").where("w > 0").withColumn("a", F.col("before") + F.col("inside")).withColumn("b", F.col("before") + F.col("inside") + F.col("w"))
+    w = F.coalesce(F.col(f"`{weights}`").cast("double"), F.lit(0.0))
+    weighed = rows.select(F.col(POSITION).alias(HIDDEN + "p"), w.alias("w"), F.floor(F.col(POSITION) / BLOCK).alias("block"))
+    totals = weighed.groupBy("block").agg(F.sum("w").alias("total")).withColumn("upper", F.floor(F.col("block") / BLOCK))
+
+    def before(total: str, by: str, *within: str) -> Column:
+        w = Window.partitionBy(*within) if within else Window
+        return F.coalesce(F.sum(total).over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+
+    uppers = totals.groupBy("upper").agg(F.sum("total").alias("whole")).select("upper", before("whole", "upper").alias("upper_before"))
+    starts = totals.withColumn("block_before", before("total", "block", "upper")).join(uppers, "upper").select("block", (F.col("upper_before") + F.col("block_before")).alias("before"))
+    ranges = weighed.withColumn("inside", before("w", HIDDEN + "p", "block")).join(starts, "block").where("w > 0").withColumn("a", F.col("before") + F.col("inside")).withColumn("b", F.col("before") + F.col("inside") + F.col("w"))
     width = whole / buckets if whole else 1.0
     spread = ranges.select(HIDDEN + "p", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("bucket"))
     u = F.col(HIDDEN + "u")

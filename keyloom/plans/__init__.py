@@ -1,0 +1,4 @@
+"""The query catalogue."""
+
+from . import catalogue as catalogue
+from . import methods as methods

@@ -2,47 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import merged_key
 from ..operators.frame import POSITION, Frame
 from ..operators.joins import join
 from ..operators.setops import concat, intersect
-from ..sources import interchange
-from .oracle import ORACLE_SQL as ORACLE_SQL
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(function: Callable[[Callable[..., Frame]], Frame | DataFrame]) -> Callable:
-    """Register a function of a table reader t(name, index, order) under its own name."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        def t(name: str, index=(), order=()) -> Frame:
-            return Frame(spark.read.parquet(f"{sf_dir}/{name}.parquet"), index, order)
-
-        out = function(t)
-        return out.df.select(*[F.col(f"`{c}`") for c in out.columns]) if isinstance(out, Frame) else out
-
-    QUERIES[function.__name__] = run
-    return function
-
-
-def orders(t):
-    return t("orders", order="o_orderkey")
-
-
-def labelled(t) -> Frame:
-    """Documents with their labels, NULL where there are none."""
-    d, other = t("documents").df.select("doc_id"), t("labels").df
-    return Frame(d.join(other, "doc_id", "left"), order="doc_id")
-
-
-def only(frame: Frame, *names: str, **more) -> DataFrame:
-    return frame.df.select(*names, *[c.alias(n) for n, c in more.items()])
+from .registry import ORACLE_SQL as ORACLE_SQL
+from .registry import QUERIES as QUERIES
+from .registry import labelled, only, orders, query, rows
 
 
 # -- projection and schema ------------------------------------------------------------------------------------
@@ -81,8 +50,8 @@ def iloc_row(t):
 @query
 def set_column_scalar(t):
     o = t("orders")[["o_orderkey"]]
-    o["flag"] = F.lit(2).cast("long")
-    return o
+    o["flag"] = 2
+    return o.astype({"flag": "bigint"})
 
 
 @query
@@ -110,7 +79,7 @@ def set_reset_index_drop(t):
 @query
 def shape(t):
     o = t("orders")
-    return o.df.agg(F.count("*").alias("rows"), F.lit(len(o.columns)).cast("long").alias("cols"))
+    return rows(o, "rows long, cols long", [o.shape])
 
 
 @query
@@ -174,19 +143,17 @@ def anti_join_isin_invert(t):
     return t("orders")[["o_orderkey", "o_custkey"]].isin_frame("o_custkey", c.take(c["c_mktsegment"] == "BUILDING"), "c_custkey", invert=True)[["o_orderkey"]]
 
 
-def extremes(f: Frame, name: str) -> DataFrame:
-    return f.df.agg(F.min(F.when(f.notnull(name), F.col(name))).alias("lo"), F.max(F.when(f.notnull(name), F.col(name))).alias("hi"))
-
-
 @query
 def nonemin_nonemax(t):
-    return extremes(t("events"), "value")
+    e = t("events")
+    return rows(e, "lo double, hi double", [(e.nonemin("value"), e.nonemax("value"))])
 
 
 @query
 def nonemin_nan(t):
     e = t("events")
-    return extremes(e.with_column("v", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))), "v")
+    e = e.with_column("v", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return rows(e, "lo double, hi double", [(e.nonemin("v"), e.nonemax("v"))])
 
 
 # -- order, distinct, duplicates ------------------------------------------------------------------------------
@@ -297,8 +264,8 @@ def groupby_iter(t):
 
 @query
 def groupby_external(t):
-    o = orders(t)[["o_orderkey"]].ranked("pos")
-    return o.groupby((F.col("pos") - 1) % 2).counts().rename({"key0": "k"})
+    o = orders(t)[["o_orderkey"]]
+    return o.groupby([i % 2 for i in range(len(o))]).counts().rename({"key0": "k"})
 
 
 @query
@@ -357,8 +324,8 @@ def join_right(t):
 
 @query
 def join_outer(t):
-    d = t("documents", "doc_id")[["n_chars"]].with_column("in_l", F.lit(True))
-    d = d.take(d["doc_id"] % 2 == 0)
+    d = t("documents", "doc_id")
+    d = d.take(d["lang"] == "en")[["n_chars"]].with_column("in_l", True)
     return join(d, t("labels", "doc_id")[["quality"]], how="outer")
 
 
@@ -462,42 +429,6 @@ def concat_nonstrict(t):
     return concat(c, s, strict=False)
 
 
-# -- samples and interchange: rows only -----------------------------------------------------------------------
-
-
-@query
-def sample_n(t):
-    return t("orders").sample(n=100)
-
-
-@query
-def sample_frac(t):
-    return t("orders").sample(frac=0.1)
-
-
-@query
-def sample_weighted(t):
-    return t("orders").sample(n=50, weights="o_totalprice")
-
-
-@query
-def serialize_roundtrip(t):
-    n = t("nation", "n_nationkey", "n_nationkey")
-    return interchange.deserialize(n.df.sparkSession, interchange.serialize(n))
-
-
-@query
-def arrow_roundtrip(t):
-    n = t("nation", order="n_nationkey")
-    return Frame.from_arrow(n.df.sparkSession, n.to_arrow())
-
-
-@query
-def json_dumps(t):
-    n = t("nation")
-    return n.df.select(interchange.to_json(F.struct("n_nationkey", "n_name", F.array("n_regionkey").alias("r"))).alias("j"))
-
-
 @query
 def flagship(t):
     """Orders by nation: two joins on the index, membership, groups, sort."""

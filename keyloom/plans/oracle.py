@@ -78,7 +78,7 @@ ORACLE_SQL: dict[str, str] = {
     # join right
     "join_right": """select c.c_custkey, coalesce(g.n,0) as n, c.c_acctbal from (select o_custkey, count(*) as n from orders group by o_custkey) g right join customer c on g.o_custkey=c.c_custkey""",
     # join outer
-    "join_outer": """select coalesce(d.doc_id, l.doc_id) as doc_id, d.n_chars is not null as in_l, coalesce(d.n_chars, 0) as n_chars, coalesce(l.quality, 0) as quality from (select * from documents where doc_id % 2 = 0) d full join labels l on d.doc_id = l.doc_id""",
+    "join_outer": """select coalesce(d.doc_id, l.doc_id) as doc_id, d.n_chars is not null as in_l, coalesce(d.n_chars, 0) as n_chars, coalesce(l.quality, 0) as quality from (select * from documents where lang = 'en') d full join labels l on d.doc_id = l.doc_id""",
     # join, null keys match (H3)
     "join_nullsafe": """select a.k, a.v, b.w from (select quality as k, count(*) as v from (select d.doc_id, l.quality from documents d left join labels l on d.doc_id=l.doc_id) t group by quality) a join (select quality as k, max(doc_id) as w from (select d.doc_id, l.quality from documents d left join labels l on d.doc_id=l.doc_id) t group by quality) b on a.k is not distinct from b.k""",
     # join suffixes

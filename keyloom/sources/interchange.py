@@ -41,18 +41,30 @@ def write_parquet(frame: Frame, path: str, mode: str = "error") -> None:
 
 
 def serialize(frame: Frame) -> bytes:
-    """A small frame as bytes: an Arrow stream with the index in its metadata.  The rows come to the driver."""
+    """A small frame as bytes: an Arrow stream with the index and the frame's class in its metadata.  The rows come to the driver."""
     table = frame.to_arrow()
     body = pa.BufferOutputStream()
-    table = table.replace_schema_metadata({_KEY: json.dumps({"index": list(frame._index), "rows": len(table)}).encode()})
+    table = table.replace_schema_metadata({_KEY: json.dumps({"index": list(frame._index), "rows": len(table), "class": _name(type(frame))}).encode()})
     with pa.ipc.new_stream(body, table.schema) as out:
         out.write_table(table)
     raw = body.getvalue().to_pybytes()
     return len(raw).to_bytes(8, "little") + raw
 
 
+def _name(kind: type) -> str:
+    return f"{kind.__module__}.{kind.__qualname__}"
+
+
+def _known(name: str) -> type[Frame]:
+    """The class of that name among those that are loaded already: reading bytes imports nothing."""
+    kinds: list[type[Frame]] = [Frame]
+    for kind in kinds:
+        kinds += kind.__subclasses__()
+    return next((kind for kind in kinds if _name(kind) == name), Frame)
+
+
 def deserialize(spark: SparkSession, raw: bytes) -> Frame:
-    """The frame that serialize has written; CorruptedBuffer for any prefix, any rest and anything else."""
+    """The frame that serialize has written, of its class if that is loaded; CorruptedBuffer for any prefix, any rest and anything else."""
     if len(raw) < 8 or int.from_bytes(raw[:8], "little") != len(raw) - 8:
         raise CorruptedBuffer("the length is wrong")
     try:
@@ -64,7 +76,7 @@ def deserialize(spark: SparkSession, raw: bytes) -> Frame:
         raise
     except (pa.ArrowException, KeyError, TypeError, ValueError, OSError) as e:
         raise CorruptedBuffer(str(e)) from e
-    return Frame.from_arrow(spark, table.replace_schema_metadata(None), noted["index"])
+    return _known(noted.get("class", "")).from_arrow(spark, table.replace_schema_metadata(None), noted["index"])
 
 
 def json_dumps(value: Any) -> bytes:

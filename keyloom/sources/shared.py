@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,17 +10,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir of the session, or a folder of our own where it is unset and one machine runs everything (tests).
+
+    RuntimeError where it is unset on a cluster, whose executors would not see a folder of the driver's machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="keyloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver ends: lazy plans may read it until then."""
+    atexit.register(_forget, spark, path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            delete(spark, path)
+    except Exception:  # the session is gone already: the folder belongs to whoever runs the cluster
+        return
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table below the shared folder: every later job reads the same rows from the same files."""
+    """df as a table below the shared folder: every later job reads the same rows from the same files, which go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from keyloom.plans.catalogue import ORACLE_SQL, QUERIES
+from keyloom.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
@@ -36,6 +36,5 @@ def test_same_rows_as_the_oracle(spark, duck, name):
     assert mine == rows(list(oracle.columns), theirs)
 
 
-@pytest.mark.parametrize("name,count", [("sample_n", 100), ("sample_frac", 1500), ("sample_weighted", 50), ("serialize_roundtrip", 25), ("arrow_roundtrip", 25), ("json_dumps", 25)])
-def test_rows_only(spark, name, count):
-    assert QUERIES[name](spark, DATA).count() == count
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE_SQL)

@@ -421,3 +421,85 @@ def test_stream(spark, tmp_path):
     assert spark.table("kept").count() == 3
     with pytest.raises(ValueError):
         stream_frame(spark.range(1))
+
+
+def test_masks_of_booleans(make):
+    f = make(a=[10, 20, 30])
+    assert got(f.take([False, True, True]), "a") == [20, 30] and got(f.take(np.array([True, False, True])), "a") == [10, 30]
+    assert got(f.take(pa.array([True, None, False])), "a") == [10] and got(f.take([False] * 3), "a") == []
+    assert got(f.take([False, True, True]).iloc[::-1], "a") == [30, 20]
+    assert f.take([]).empty and make(a=pa.array([], pa.int64())).take(np.zeros(0, bool)).empty
+    with pytest.raises(ValueError):
+        f.take([True])
+
+
+def test_positions_near_the_ends_need_no_table(make, monkeypatch):
+    import keyloom.operators.frame as frame
+
+    def never(*_):
+        raise AssertionError("all rows were laid out")
+
+    f = make(a=[4, 3, 2, 1], b=list("wxyz")).sort_values("a")
+    monkeypatch.setattr(frame, "with_position", never)
+    assert f.iloc[0]["b"] == "z" and f.iloc[-1]["b"] == "w" and got(f.iloc[1:3], "b") == ["y", "x"] and got(f.iloc[:4:2], "b") == ["z", "x"]
+    with pytest.raises(IndexError):
+        f.iloc[-5]
+    monkeypatch.undo()
+    assert got(f.iloc[-3:], "a") == [2, 3, 4] and got(f.iloc[2::-1], "a") == [3, 2, 1] and got(f.iloc[3:0:-2], "a") == [4, 2] and got(f.iloc[5:2], "a") == []
+    with pytest.raises(ValueError):
+        f.iloc[::0]
+
+
+def test_whole_row_duplicates(make):
+    f = make(a=[2, 1, 2, 1, 3], b=["x", None, "x", None, "y"])
+    assert got(f.drop_duplicates(), "a") == [2, 1, 3] and got(f.drop_duplicates(keep="last"), "a") == [2, 1, 3]
+    assert f.drop_duplicates().iloc[1] == {"a": 1, "b": None}
+    g = make(a=[1.0, NAN, None, 1.0], b=[1, 1, 1, 1])
+    assert len(g.drop_duplicates()) == 2 and len(Frame(g.df.select("a", "b")).drop_duplicates()) == 2
+    down = make(a=[1, 2, 3, 4], k=[1, 1, 2, 2]).sort_values("a", ascending=False)
+    assert got(down.drop_duplicates("k"), "a") == [4, 2] and got(down.drop_duplicates("k", keep="last"), "a") == [3, 1]
+    assert make(a=[1], index="a").drop_duplicates(ignore_index=True).index.names == ()
+
+
+def test_reductions(make):
+    f = make(k=[1, 1, 2, 2], v=[NAN, 1.0, 3.0, None], n=[7, 2, 9, 4])
+    assert bag(f.groupby("k").agg(lo=("v", "fmin"), hi=(F.col("v") * 2, "fmax"))) == [(1, 1.0, 2.0), (2, 3.0, 6.0)]
+    low = dict(bag(f.groupby("k").agg(lo=("v", "min"))))
+    assert low[1] != low[1] and low[2] == 3.0
+    assert bag(f.groupby("k").agg(d=("n", np.subtract), g=("n", np.gcd), h=("n", lambda a, x: a * 10 + x), s=("n", np.add))) == [(1, 5, 1, 72, 9), (2, 5, 1, 94, 13)]
+    assert bag(f.groupby(F.col("v") + 0).counts()) == [(1.0, 1), (3.0, 1), (None, 2)]
+    assert got(f.groupby("k").first(n="n"), "n") == [7, 9] and got(f.sort_values("n", ascending=False).groupby("k").first(n="n"), "n") == [7, 9]
+
+
+def test_join_rows_come_by_key(make):
+    a, b = make(i=[2, 1, 1, None], x=[0, 1, 2, 3], index="i"), make(i=[1, 2], y=["p", "q"], index="i")
+    assert got(join(a, b), "i", "x") == [[1, 1, 2, None], [1, 2, 0, 3]] and join(a, b).iloc[0] == {"i": 1, "x": 1, "y": "p"}
+
+
+def test_mixed_cells_and_json(spark, make):
+    f = make(a=[[1, 2], [3], [4, 5, 6], 7, "a"], b=[9, 8, 7, 6, 5], index="b")
+    assert got(f.explode("a"), "a", "b") == [[1, 2, 3, 4, 5, 6, 7, "a"], [9, 9, 8, 7, 7, 7, 6, 5]] and f.explode("a", ignore_index=True).index.names == ()
+    docs = [{"api": {"chart": "0.0.103"}}, None, {"build": 619, "tags": ["é", 1.5, None]}]
+    g = make(d=docs, k=[1, 2, 3], index="k")
+    back = deserialize(spark, serialize(g))
+    assert got(back, "d") == docs and back.index.names == ("k",)
+    assert got(make(x=[{}, []]), "x") == [{}, []]
+
+
+class Own(Frame):
+    __slots__ = ()
+
+
+def test_classes_survive_bytes(spark):
+    own = Own(spark.createDataFrame([(1,)], "a long"), "a", "a")
+    assert type(deserialize(spark, serialize(own))) is Own
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from keyloom.sources.shared import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://x:7077")))
