@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -15,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, delete_at_exit, fresh_path
+
 #: Text that a Python worker expands into arrays at a time, in bytes.
 CHUNK_BYTES = 1 << 20
 
@@ -24,20 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="keyloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared file system, if it is there."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df does not have: those asked for, with underscores as needed."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 #: Paths of the tables that the innermost scratch block has written.
@@ -72,11 +65,11 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     The files go at the end of the scratch block, or when the driver ends if there is none or they are to be kept.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     paths = _SCOPE.get()
     if keep or paths is None:
-        atexit.register(_forget, spark, path)
+        delete_at_exit(spark, path)
     else:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -88,14 +81,6 @@ def unstage(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            delete(spark, path)
-    except Exception:  # the session is gone already: the folder belongs to whoever runs the cluster
-        return
-
-
 def tasks(spark: SparkSession) -> int:
     """Partitions for an explicit exchange: the session's own setting, which the cluster sizes to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete_at_exit, fresh_path
 from . import chat_format, media, near_dedup, packing, pii, quality, sentencepiece_ops, shards, suffix_dedup, topk
-from .common import shared_folder, table
+from .common import table
 
 #: The extra conversation of op3's contract: what both of its rows say.
 TRICKY = r"\### Assistant: </turn> ok"
@@ -51,7 +51,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in eight parts, are stored, compacted and read back from the newest version."""
     docs = table(spark, sf_dir, "documents").withColumn("arrival", F.coalesce(F.pmod("doc_id", F.lit(8)), F.lit(0)).cast("int"))
-    store = shards.shard(docs, F.col("arrival"), f"{shared_folder(spark)}/keyloom/store-{uuid.uuid4().hex}")
+    root = fresh_path(spark, "store")
+    delete_at_exit(spark, root)
+    store = shards.shard(docs, F.col("arrival"), root)
     text = F.coalesce("text", F.lit(""))
     return store.read().select("doc_id", "arrival", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
