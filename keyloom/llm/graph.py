@@ -5,37 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 #: A key with more than one in so many rows of the larger side is hot; fewer keys than this can be.
 HOT_SHARE = 200
+#: Rows that a key may have at any size of the larger side.
+LEAST = 1000
 
 
-def unique_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame, least: int = 1000, hint: str | None = None) -> DataFrame:
-    """left joined with right, which has one row for each key; weights: (key, n), the rows that left has of each key.
+def unique_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame, hint: str | None = None, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has one row for each key; weights: (key, n), the rows that left has of each key.
 
-    Hot keys' rows of `right` are broadcast: at most HOT_SHARE, as each stands for that share of left's rows.  All
-    others meet in a shuffled join, where no key has more than that share; rows already answered are spread over it.
+    A hot key's rows are dealt out over as many parts as the limit for one key fits into them, and its row of `right` is
+    there once a part.  Only the hot keys and their parts are broadcast, fewer than HOT_SHARE pairs of key and number;
+    the parts of all hot keys are fewer than twice HOT_SHARE, so that many rows of `right` are copied, whatever their
+    size.  No task gets more than the limit of one key's rows.  Null keys meet nothing.
     """
-    total = weights.agg(F.sum("n")).first()[0] or 0
+    total, most = weights.agg(F.sum("n"), F.max("n")).first()
+    limit = max(LEAST, (total or 0) // HOT_SHARE)
     names = [c for c in right.columns if c != key]
-    hot_keys = F.broadcast(weights.where(F.col("n") > max(least, total // HOT_SHARE)).select(key))
-    hot = F.broadcast(right.join(hot_keys, key, "left_semi").select(F.col(key).alias("_key"), F.struct(*names).alias("_hot")))
+    if (most or 0) <= limit:
+        return left.join(right.hint(hint) if hint else right, key, how).select(*left.columns, *names)
+    hot_key, parts, salt = fresh(left.join(right, key), "hot_key", "parts", "salt")
+    hot = weights.where(F.col("n") > limit).select(F.col(key).alias(hot_key), F.ceil(F.col("n") / limit).cast("int").alias(parts))
     others = [c for c in left.columns if c != key]
-    first = left.withColumnRenamed(key, "_key").join(hot, "_key", "left")
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.abs(F.hash("_key", *others)) % 4096)
-    rest = right.select(F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(*names).alias("_row"))
-    rest = rest.hint(hint) if hint else rest
-    both = first.withColumn("_salt", salt).join(rest, ["_key", "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_row")).where(F.col("_found").isNotNull())
-    return both.withColumnRenamed("_key", key).select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in names])
+    own = F.abs(F.xxhash64(*[F.col(f"`{c}`") for c in others]) % F.col(parts)).cast("int") if others else F.lit(0)
+    spread = left.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left").withColumn(salt, F.coalesce(own, F.lit(0))).drop(hot_key, parts)
+    copies = right.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(hot_key, parts)
+    return spread.join(copies.hint(hint) if hint else copies, [key, salt], how).select(*left.columns, *names)
+
+
+def counted(df: DataFrame, key: str) -> DataFrame:
+    """The rows of each key, as weights."""
+    return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) -> (node, component), component being the smallest node reachable; nodes without edges are absent.
 
     Each round hangs every node below its smallest neighbour, flattens the trees by pointer doubling and contracts the
-    edges to the roots.  Edges shrink by half a round at least; all steps are joins and minima that combine before
-    they shuffle.
+    edges to the roots.  Edges shrink by half a round at least.  All steps are minima that combine before they shuffle
+    and joins in which a node or a root that stands in many rows is dealt out.
     """
     left = staged(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     label: DataFrame | None = None
@@ -44,17 +54,19 @@ def components(edges: DataFrame) -> DataFrame:
         parent = staged(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent")), "parents")
         while True:
             above = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            jumped = staged(parent.join(above, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
+            jumped = unique_join(parent, above, "parent", counted(parent, "parent"))
+            jumped = staged(jumped.select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
             parent = jumped.select("node", "parent")
             if jumped.where("moved").isEmpty():
                 break
         of_u, of_v = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu")), parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        left = staged(left.join(of_u, "u").join(of_v, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        ends = unique_join(unique_join(left, of_u, "u", counted(left, "u")), of_v, "v", counted(left, "v"))
+        left = staged(ends.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
         if label is None:
             label = parent
         else:
             step = parent.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-            label = label.join(step, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"))
+            label = staged(unique_join(label, step, "parent", counted(label, "parent"), how="left").select("node", F.coalesce("next", "parent").alias("parent")), "labels")
     if label is None:
         return edges.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
     return label.select("node", F.col("parent").alias("component"))

@@ -6,8 +6,8 @@ permutations, six values, make a band; documents that agree in a band are candid
 the full sets.
 
 Candidates are not expanded into pairs.  Equal sets are one class from the start.  In a bucket all members are compared
-with one pivot, the member with the most neighbours over all its buckets.  Only around pivots whose buckets then still
-hold several components, the members of the smaller ones are compared with all others, block by block.
+with one pivot, the member with the most neighbours over all its buckets.  Only in buckets that then still hold several
+components, the members of the smaller ones are compared with all others of the bucket, block by block.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, batch, scratch, slices, staged
-from .graph import components, unique_join
+from .graph import components, counted, unique_join
 
 #: Permutations in a band (twice as many values), and the chance that a pair at the threshold shares no band.
 PER_BAND, MISS = 3, 1e-5
@@ -211,7 +211,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     counts = staged(in_band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = staged(unique_join(in_band.withColumnRenamed("n", "size"), counts.withColumn("many", F.col("n")).select("band", "many"), "band", counts), "members")
     degree = members.groupBy("doc").agg(F.sum("many").alias("degree"))
-    centre = members.join(degree, "doc").groupBy("band").agg(F.max_by(F.struct("doc", "size"), F.struct("degree", -F.col("doc"))).alias("pivot"))
+    centre = staged(members.join(degree, "doc").groupBy("band").agg(F.max_by(F.struct("doc", "size"), F.struct("degree", -F.col("doc"))).alias("pivot")), "pivots")
     paired = unique_join(members, centre, "band", counts)
     stars = staged(paired.select("doc", "size", F.col("pivot.doc").alias("pivot"), F.col("pivot.size").alias("pivot_size")).distinct(), "stars")
     near = F.expr(f"100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")
@@ -220,7 +220,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sets = staged(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "shingles"]), "shingles")
     links = staged(confirm(pairs, sets, percent).where("linked"), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = staged(components(links), "labels")
-    more = staged(star_links(stars.select("doc", "pivot"), label, sets, percent).distinct(), "links")
+    more = staged(bucket_links(members.select("band", "doc"), centre.select("band", "pivot.doc"), stars.select("doc", "pivot"), label, sets, percent).distinct(), "links")
     if not more.isEmpty():
         tied = label.select(F.col("node").alias("u"), F.col("component").alias("v"))
         label = staged(components(tied.unionAll(more)), "labels")
@@ -273,32 +273,44 @@ def shared(left: list[np.ndarray], right: list[np.ndarray], n: int) -> np.ndarra
     return counts.reshape(len(left), n)
 
 
-#: Members of a star that one task compares: outside the largest component, and of all.
-MINOR_BLOCK, STAR_BLOCK = 32, 128
+#: Members of a bucket that one task compares: outside the largest component, and of all.
+MINOR_BLOCK, ALL_BLOCK = 64, 256
 _LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def star_links(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between components that meet in a star; stars: (doc, pivot), the pivots themselves included.
+def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows with a column doc -> their component; a document without links is its own."""
+    return rows.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
-    Two candidates share a pivot, so all candidates are compared: in every star, each member outside its largest
-    component with each member of another component.  Members come as their differences from the pivot's set, from
+
+def mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows (key, component) are of several components: key, many (its rows), most (those of the largest component), largest."""
+    shares = rows.groupBy(key, "component").agg(F.count("*").alias("share"))
+    each = shares.groupBy(key).agg(F.count("*").alias("kinds"), F.sum("share").alias("many"), F.max("share").alias("most"), F.max_by("component", F.struct("share", -F.col("component"))).alias("largest"))
+    return each.where("kinds > 1").drop("kinds")
+
+
+def bucket_links(members: DataFrame, centre: DataFrame, stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components that meet in a bucket; members: (band, doc), centre: (band, doc) the pivots, stars: (doc, pivot), distinct.
+
+    Candidates are documents that share a bucket.  In every bucket, each member outside its largest component is
+    compared with each member of another component.  Members come as their differences from the pivot's set, from
     which their overlap follows exactly: |x & y| = |p| - |gone x| - |gone y| + |gone x & gone y| + |novel x & novel y|.
-    A star is dealt out in blocks, so that no task holds a whole one, and gives one link for each two components in a
-    block.
+    A bucket is dealt out in blocks, so that no task holds a whole one, and gives one link for each two components in a
+    block.  Buckets whose pivot has one component around it are left out before they are looked at.
     """
-    named = stars.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    shares = named.groupBy("pivot", "component").agg(F.count("*").alias("share"))
-    mixed = shares.groupBy("pivot").agg(F.count("*").alias("kinds"), F.sum("share").alias("many"), F.max("share").alias("most"), F.max_by("component", F.struct("share", -F.col("component"))).alias("largest"))
-    mixed = staged(mixed.where("kinds > 1").select("pivot", "many", "most", "largest"), "mixed")
-    weights = mixed.select("pivot", F.col("many").alias("n"))
-    inside = unique_join(named, mixed, "pivot", weights)
-    changes = deltas(inside.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), sets).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "novel", "gone", "size_b")
-    known = staged(inside.join(changes, ["doc", "pivot"]), "stars")
+    around = mixed(labelled(stars, label), "pivot").select("pivot")
+    bands = centre.withColumnRenamed("doc", "pivot").join(around, "pivot", "left_semi")
+    inside = labelled(unique_join(members, bands, "band", counted(members, "band")), label)
+    inside = staged(inside, "inside")
+    several = staged(mixed(inside, "band"), "mixed")
+    inside = unique_join(inside, several, "band", several.select("band", F.col("many").alias("n")))
+    changes = deltas(inside.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), sets).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "novel", "gone", "size_b")
+    known = staged(inside.join(changes, ["doc", "pivot"]), "differences")
     h = F.xxhash64("doc")
-    minors, alls = F.ceil((F.col("many") - F.col("most")) / MINOR_BLOCK).cast("int"), F.ceil(F.col("many") / STAR_BLOCK).cast("int")
-    known = known.select("pivot", "doc", "component", "largest", "novel", "gone", "size_b", h.alias("h"), minors.alias("minors"), alls.alias("alls"))
-    keep = ["pivot", "x", "y", "doc", "component", "novel", "gone", "size_b"]
+    minors, alls = F.ceil((F.col("many") - F.col("most")) / MINOR_BLOCK).cast("int"), F.ceil(F.col("many") / ALL_BLOCK).cast("int")
+    known = known.select("band", "doc", "component", "largest", "novel", "gone", "size_b", h.alias("h"), minors.alias("minors"), alls.alias("alls"))
+    keep = ["band", "x", "y", "component", "novel", "gone", "size_b"]
     minor = known.where("component <> largest").withColumn("x", F.expr("pmod(h, minors)").cast("int")).withColumn("y", F.explode(F.expr("sequence(0, alls - 1)"))).select(*[F.col(c).alias(c) for c in keep])
     other = known.withColumn("y", F.expr("pmod(h, alls)").cast("int")).withColumn("x", F.explode(F.expr("sequence(0, minors - 1)"))).select(*[F.col(c).alias(c) for c in keep])
 
@@ -319,5 +331,5 @@ def star_links(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int
         found = np.unique(np.stack([of_x[a], of_y[b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.table({"u": found[:, 0], "v": found[:, 1]}, schema=_LINK)
 
-    one = ["pivot", "x", "y"]
+    one = ["band", "x", "y"]
     return minor.groupBy(*one).cogroup(other.groupBy(*one)).applyInArrow(compare, "u long, v long")

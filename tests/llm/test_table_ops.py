@@ -102,12 +102,53 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_unique_join_of_hot_keys(spark):
-    left = spark.createDataFrame([(k, i) for i in range(3000) for k in ([1] if i % 2 else [i])], "key long, x long")
-    right = spark.createDataFrame([(k, k * 10) for k in range(0, 1000)], "key long, y long")
-    weights = left.groupBy("key").agg(F.count("*").alias("n"))
-    found = sorted(map(tuple, graph.unique_join(left, right, "key", weights).collect()))
-    assert found == sorted(map(tuple, left.join(right, "key").select("key", "x", "y").collect()))
+def test_components_of_one_class_of_many(spark):
+    """A star and a chain of stars of 10^5 nodes: the hot root is dealt out in every join."""
+    n = 100_000
+    star = spark.range(1, n).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    hubs = spark.range(1, n).select((n + F.col("id") % 7).alias("u"), (2 * n + F.col("id")).alias("v"))
+    chain = spark.createDataFrame([(n + k, n + k + 1) for k in range(6)], "u long, v long")
+    found = graph.components(star.unionAll(hubs).unionAll(chain)).groupBy("component").agg(F.count("*").alias("n")).collect()
+    assert {r["component"]: r["n"] for r in found} == {0: n, n: n - 1 + 7}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_unique_join_of_hot_keys(spark, how):
+    left = spark.createDataFrame([(k, i, 0) for i in range(4000) for k in ([1] if i % 2 else [i])] + [(None, -1, 0)], "key long, x long, salt int")
+    right = spark.createDataFrame([(k, k * 10, 1) for k in range(0, 1000)], "key long, y long, parts int")
+    weights = graph.counted(left, "key")
+    joined = graph.unique_join(left, right, "key", weights, how=how)
+    found = sorted(map(tuple, joined.collect()), key=repr)
+    assert found == sorted(map(tuple, left.join(right, "key", how).select("key", "x", "salt", "y", "parts").collect()), key=repr)
+    spread = graph.unique_join(left, right, "key", weights).where("key = 1").repartition(1)  # the plan deals the hot key out
+    assert "hot_key" in spread._jdf.queryExecution().toString()
+
+
+def test_classes_of_a_large_group(docs):
+    """Near copies of one text, more than any block holds, and texts that share a band with them by a long passage."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(60)]
+    pairs = [(k, edited(base, rng, 1)) for k in range(6000)]
+    other = [f"v{k}" for k in range(60)]
+    pairs += [(10_000 + k, edited(other, rng, 1)) for k in range(50)]
+    found = near_dedup.classes(docs(pairs), 3, 85).groupBy("component_id").count().collect()
+    assert {r["component_id"]: r["count"] for r in found} == {0: 6000, 10_000: 50}
+
+
+def test_buckets_link_what_their_pivots_do_not(docs, monkeypatch):
+    """Chains whose ends are far apart: members of a bucket link one another where neither links the pivot."""
+    monkeypatch.setattr(near_dedup, "MINOR_BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "ALL_BLOCK", 3)
+    rng = np.random.default_rng(12)
+    pairs = []
+    for g in range(12):
+        words = [f"g{g}w{k}" for k in range(120)]
+        for step in range(14):
+            for k in range(2):
+                words[(7 * step + 3 * k + g) % 120] = f"z{rng.integers(1e9)}"
+            pairs.append((len(pairs), " ".join(words)))
+    found = near_dedup.classes(docs(pairs), 3, 85).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found} == plain_classes(pairs, 3, 85)
 
 
 # -- top-k
