@@ -60,13 +60,13 @@ def release(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df below the shared folder and read it back, which cuts its lineage and survives the loss of executors.
+    """Write df below the shared folder, compressed, and read it back, which cuts its lineage and survives the loss of executors.
 
     The files go at the end of the scratch block, or when the driver ends if there is none or they are to be kept.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     paths = _SCOPE.get()
     if keep or paths is None:
         delete_at_exit(spark, path)

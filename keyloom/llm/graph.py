@@ -19,8 +19,13 @@ def unique_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame,
     A hot key's rows are dealt out over as many parts as the limit for one key fits into them, and its row of `right` is
     there once a part.  Only the hot keys and their parts are broadcast, fewer than HOT_SHARE pairs of key and number;
     the parts of all hot keys are fewer than twice HOT_SHARE, so that many rows of `right` are copied, whatever their
-    size.  No task gets more than the limit of one key's rows.  Null keys meet nothing.
+    size.  No task gets more than the limit of one key's rows.  Null keys meet nothing and stay where they are.
     """
+    if how == "left":
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
+        met = unique_join(left.where(F.col(key).isNotNull()), right, key, weights, hint, "outer side")
+        return met.unionAll(left.where(F.col(key).isNull()).select("*", *none))
+    how = "left" if how == "outer side" else how
     total, most = weights.agg(F.sum("n"), F.max("n")).first()
     limit = max(LEAST, (total or 0) // HOT_SHARE)
     names = [c for c in right.columns if c != key]

@@ -1,9 +1,9 @@
 """Media columns: interleaved sequences of text and media references, resolved by digest.
 
 HTML parsing turns a page into an ordered array of structs, text or media reference, each with its position and a
-reference with its caption.  A media table holds stored forms under their SHA-256.  What a reader gets from a stored
-form (size, features) is computed before the join, so that only small structs move, and positions and captions stay
-on the side of the page.
+reference with its caption.  A media table holds stored forms under their SHA-256.  References, parsed once, meet it by
+digest: with what a reader gets from a stored form (size, digests, features), so that only small structs move, or with
+the payload itself.  Positions and captions stay on the side of the page.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, staged
+from .graph import counted, unique_join
 
 #: A stored form is an 8-bit greyscale image of this width: header, then one byte a sample.
 WIDTH = 64
-#: A digest with more than one of so many references is hot: there are fewer hot ones than this number.
-HOT_SHARE = 500
 _MEDIA_TAGS = frozenset(("img", "video", "audio", "source", "embed"))
+_HIDDEN = frozenset(("script", "style", "template"))
 _BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
 
 
@@ -67,12 +67,16 @@ def describe(image: np.ndarray) -> str:
     return f"{image.shape[1]}x{image.shape[0]};{mean:.4f};{spread:.4f};{across:.4f};{down:.4f};{shares}"
 
 
-_INFO = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-_INFO_SQL = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_INFO = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("payload", pa.binary())])
+_INFO_SQL = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, payload binary"
 
 
-def read_media(media: DataFrame) -> DataFrame:
-    """Rows (digest, media) -> what each stored form holds, read back from its bytes; unreadable or null forms give nothing."""
+def read_media(media: DataFrame, payloads: bool = False) -> DataFrame:
+    """Rows (digest, media) -> what each stored form holds, read back from its bytes, and with `payloads` the payload as well.
+
+    Unreadable or null forms give nothing.
+    """
+    schema = _INFO if payloads else _INFO.remove(_INFO.get_field_index("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -84,65 +88,100 @@ def read_media(media: DataFrame) -> DataFrame:
                 except ValueError:
                     continue
                 payload = image.tobytes()
-                for name, x in zip(_INFO.names, (digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), describe(image)), strict=True):
+                found = digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), describe(image), payload if payloads else None
+                for name, x in zip(_INFO.names, found, strict=True):
                     out[name].append(x)
-            yield batch(out, _INFO)
+            yield batch(out, schema)
 
-    return media.select("digest", "media").mapInArrow(run, _INFO_SQL)
+    return media.select("digest", "media").mapInArrow(run, _INFO_SQL if payloads else _INFO_SQL.rpartition(",")[0])
+
+
+class _Figure:
+    """A figure that is open: its media items, the text items of its caption, and how many media came before that."""
+
+    def __init__(self):
+        self.media: list[dict] = []
+        self.caption: list[dict] = []
+        self.open = False
+        self.seen: int | None = None
 
 
 class _Page(HTMLParser):
-    """Collects a page's items in their order."""
+    """Collects a page's items in their order.
+
+    A caption's text is collected as text items, which go once the figure ends and has media to carry them; in a figure
+    without media they stay.  A figure that the page never closes has the media before its caption, or else the first
+    one, and of a caption that is never closed the text up to the next block.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.skipped: str | None = None
-        self.caption: list[str] | None = None
-        self.figure: list[int] = []
+        self.figures: list[_Figure] = []
+        self.hidden: str | None = None
+        self.depth = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+            if self.figures and self.figures[-1].open:
+                self.figures[-1].caption.append(self.items[-1])
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "template"):
-            self.skipped = self.skipped or tag
-        if self.skipped:
+        if self.hidden:
+            self.depth += tag == self.hidden
+            return
+        if tag in _HIDDEN:
+            self.hidden, self.depth = tag, 1
             return
         if tag in _BLOCKS or tag in _MEDIA_TAGS:
-            if self.caption is None:
-                self.flush()
+            self.flush()
         known = dict(attrs)
         if tag in _MEDIA_TAGS and known.get("src"):
-            self.figure.append(len(self.items))
             self.items.append({"kind": "media", "text": None, "ref": reference(known["src"]), "caption": known.get("alt")})
+            if self.figures:
+                self.figures[-1].media.append(self.items[-1])
         elif tag == "figure":
-            self.figure = []
-        elif tag == "figcaption":
-            self.caption = []
+            self.figures.append(_Figure())
+        elif tag == "figcaption" and self.figures:
+            figure = self.figures[-1]
+            figure.open, figure.seen = True, len(figure.media)
 
     def handle_endtag(self, tag):
-        if self.skipped:
-            if tag == self.skipped:
-                self.skipped = None
+        if self.hidden:
+            self.depth -= tag == self.hidden
+            if not self.depth:
+                self.hidden = None
             return
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for k in self.figure:
-                self.items[k]["caption"] = text or self.items[k]["caption"]
-            self.caption = None
-        elif tag == "figure":
-            self.figure = []
-        if tag in _BLOCKS and self.caption is None:
+        if tag in _BLOCKS:
             self.flush()
+        if tag == "figcaption" and self.figures:
+            self.figures[-1].open = False
+        elif tag == "figure" and self.figures:
+            self.finish(self.figures.pop(), True)
 
     def handle_data(self, data):
-        if not self.skipped:
-            (self.words if self.caption is None else self.caption).append(data)
+        if not self.hidden:
+            self.words.append(data)
+
+    def finish(self, figure: _Figure, closed: bool) -> None:
+        media = figure.media if closed else figure.media[: figure.seen] or figure.media[:1]
+        parts = figure.caption[:1] if figure.open and not closed else figure.caption
+        if media and parts:
+            text = " ".join(x["text"] for x in parts)
+            for item in media:
+                item["caption"] = text
+            for item in parts:
+                item["kind"] = None
+
+    def result(self) -> list[dict]:
+        self.flush()
+        while self.figures:
+            self.finish(self.figures.pop(), False)
+        return [{"position": k} | item for k, item in enumerate(x for x in self.items if x["kind"])]
 
 
 def reference(src: str) -> str:
@@ -160,8 +199,7 @@ def parse_page(html: str | None) -> list[dict]:
     page = _Page()
     page.feed(html or "")
     page.close()
-    page.flush()
-    return [{"position": k} | item for k, item in enumerate(page.items)]
+    return page.result()
 
 
 _ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
@@ -183,45 +221,40 @@ def items(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return ids.mapInArrow(run, f"id {kind}, items array<{_ITEM}>").withColumnRenamed("id", key)
 
 
-def resolve(references: DataFrame, media: DataFrame) -> DataFrame:
-    """References (with a column ref) joined with what read_media says of the media table (digest, media).
+def resolve(references: DataFrame, media: DataFrame, payloads: bool = False) -> DataFrame:
+    """References (with a column ref, written already) joined by digest with the media table (digest, media).
 
-    Each digest is described once, however often it is stored.  A digest that more than one in HOT_SHARE references
-    name is broadcast (there are fewer than HOT_SHARE of them); all others meet in a shuffled join, where none can hold
-    more than that share of the rows.  References without a payload stay, with nulls.
+    The column `media` says what read_media gets from the stored form, with `payloads` the payload included.  Each digest
+    is met once, however often it is stored; one that many references name is dealt out.  References without a stored
+    form stay, with nulls.
     """
-    info = staged(read_media(media).groupBy("digest").agg(F.any_value(F.struct(*_INFO.names[1:])).alias("media")), "media")
-    counts = references.where(F.col("ref").isNotNull()).groupBy("ref").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(info.join(F.broadcast(counts.where(F.col("n") > max(1000, total // HOT_SHARE)).select(F.col("ref").alias("digest"))), "digest", "left_semi").select(F.col("digest").alias("hot_digest"), F.col("media").alias("hot_media")))
-    first = references.join(hot, F.col("ref") == F.col("hot_digest"), "left")
-    # a row that is answered already goes to a partition of its own id's choosing, where it finds nothing
-    spread = F.when(F.col("hot_digest").isNull() & F.col("ref").isNotNull(), F.col("ref")).otherwise(F.concat(F.lit("-"), F.hash(*[F.col(c) for c in references.columns if c != "ref"]).cast("string")))
-    rest = info.select(F.col("digest").alias("other_digest"), F.col("media").alias("other_media"))
-    both = first.withColumn("met", spread).join(rest, F.col("met") == F.col("other_digest"), "left")
-    return both.select(*references.columns, F.coalesce("hot_media", "other_media").alias("media"))
-
-
-def interleave(pages: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
+    info = read_media(media, payloads).groupBy("digest").agg(F.any_value(F.struct(*[n for n in _INFO.names[1:] if payloads or n != "payload"])).alias("media"))
+    info = info.withColumnRenamed("digest", "ref")
+    return unique_join(references, info if payloads else staged(info, "media"), "ref", counted(references.where(F.col("ref").isNotNull()), "ref"), how="left")
+
+
+def interleave(pages: DataFrame, media: DataFrame, key: str = "page_id", payloads: bool = False) -> DataFrame:
     """Pages (key, html) and media (digest, media) -> one row per item: key, position, kind, text, ref, caption, media.
 
-    Defined cases: a null or empty page has no items; a reference that no stored form answers keeps its position and
-    caption with a null `media`; text items have a null `media`; repeated pages give their items again; other columns
-    are ignored; empty tables give no rows.
+    Pages are parsed once.  Defined cases: a null or empty page has no items; a reference that no stored form answers
+    keeps its position and caption with a null `media`; text items have a null `media`; repeated pages give their items
+    again; other columns are ignored; empty tables give no rows.
     """
     one = items(pages, key).select(key, F.explode("items").alias("i")).select(key, "i.*")
-    return resolve(one, media)
+    return resolve(staged(one, "items"), media, payloads)
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) as a page each that refers to the document's payload, interleaved with its stored form.
 
-    -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.  A null text is
-    an empty one, whose payload is one line of zeros.
+    -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.  The stored forms
+    are written as a media table and read back from its files.  Defined cases: a null text is an empty one, whose payload
+    is one line of zeros; a null doc_id stays null; rows that share a doc_id or a text are each described; other columns
+    are ignored; an empty table gives no rows.
     """
     image = stored(padded(F.col("text")))
-    page = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(image, 256), F.lit('"><figcaption>'), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("string"), F.lit("</figcaption></figure>"))
-    pages = docs.select("doc_id", page.alias("html"))
-    media = docs.select(F.sha2(image, 256).alias("digest"), image.alias("media"))
-    found = interleave(pages, media, "doc_id").where(F.col("kind") == "media")
+    page = F.concat(F.lit('<figure><img src="sha256:'), F.sha2("media", 256), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure>"))
+    kept = staged(docs.select("doc_id", image.alias("media"), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_bytes")), "stored")
+    pages = kept.select("doc_id", page.alias("html"))
+    found = interleave(pages, kept.select(F.sha2("media", 256).alias("digest"), "media"), "doc_id").where(F.col("kind") == "media")
     return found.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "media.*")
