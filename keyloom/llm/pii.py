@@ -3,9 +3,9 @@
 Base spans (email, ip, card, phone) follow fixed patterns and checks and are certain.  For the other kinds wide patterns
 propose spans and three labelers vote on each, for, against or not at all: a strict rule on the span itself, a gazetteer
 and the words around it.  None of them has proposed the span.  Expectation-maximisation over the counts of vote patterns
-estimates how often each labeler casts each vote on personal data and on other spans, and with that how likely each vote
-pattern is to mark personal data.  A labeler that votes alike on both tells nothing, whatever it votes.  Those
-probabilities train a naive Bayes classifier on the span's shape and surroundings, which decides.
+estimates how often each labeler is right on personal data and on other spans, and with that how likely each vote
+pattern is to mark personal data.  Those probabilities train a naive Bayes classifier on the span's shape and
+surroundings, which decides.
 """
 
 from __future__ import annotations
@@ -225,10 +225,11 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         for m in pattern.finditer(text):
             a, b = m.span()
             if kind == "name":  # a title before a name is not part of it
-                while a < b and text[a:b].partition(" ")[0].lower() in TITLES:
-                    a = min(b, a + len(text[a:b].partition(" ")[0]) + 1)
-                if " " not in text[a:b]:
+                words = m.group().split(" ")
+                titles = next((k for k, w in enumerate(words) if w.lower() not in TITLES), len(words))
+                if len(words) - titles < 2:
                     continue
+                a += sum(len(w) + 1 for w in words[:titles])
             k = bisect_right(ends, a)
             if k == len(starts) or starts[k] >= b:
                 out.append((KINDS.index(kind), a, b))
@@ -249,34 +250,37 @@ def propose(text: str, names: frozenset[str] = FIRST_NAMES) -> tuple[list[tuple[
 
 # -- expectation-maximisation and the classifier ----------------------------------------------------------------
 
-VOTES = "+-0"
-#: Votes that each labeler is taken to have cast before any are seen, on personal data and on other spans, by +, - and 0; and spans of either sort.
-PRIOR_VOTES = ((6.0, 1.0, 3.0), (1.0, 6.0, 3.0))
-PRIOR_SPANS = (3.0, 7.0)
+#: What is taken to have been seen before any vote: a labeler's right and wrong votes on either class, and spans of personal data and others.
+PRIOR_VOTES, PRIOR_SPANS = (6.0, 1.0), (3.0, 7.0)
+#: A labeler is right more often than not, and never certain.
+LEAST_RIGHT, MOST_RIGHT = 0.55, 0.99
 
 
-def reliabilities(counts: dict[str, float], rounds: int = 100) -> tuple[dict[str, float], list[list[dict[str, float]]]]:
+def reliabilities(counts: dict[str, float], rounds: int = 100) -> tuple[dict[str, float], list[tuple[float, float]]]:
     """EM over vote patterns of one kind -> the probability of personal data for each pattern, and each labeler's rates.
 
-    Labelers vote independently of one another given what the span is; the rates say how often one casts each vote on
-    personal data (first) and on other spans.  Priors worth a few votes say which of the two classes is which.
+    The rates are how often a labeler that votes is for personal data, and against other spans; given what the span is,
+    labelers vote independently, and whether one abstains says nothing.  A labeler that was never both for and against
+    can't be judged and keeps the rates it is taken to have.
     """
-    def normed(x: list[float]) -> dict[str, float]:
-        return dict(zip(VOTES, (v / sum(x) for v in x), strict=True))
-
-    rates = [[normed(list(PRIOR_VOTES[c])) for c in range(2)] for _ in range(3)]
+    right = PRIOR_VOTES[0] / sum(PRIOR_VOTES)
+    rates = [(right, right)] * 3
+    varied = [{"+", "-"} <= {p[k] for p in counts} for k in range(3)]
     share = PRIOR_SPANS[0] / sum(PRIOR_SPANS)
     posterior: dict[str, float] = {}
+    total = sum(counts.values())
     for _ in range(rounds):
         for pattern in counts:
-            odds = math.log(share / (1 - share)) + sum(math.log(own[0][v] / own[1][v]) for own, v in zip(rates, pattern, strict=True))
+            odds = math.log(share / (1 - share))
+            for (yes, no), v in zip(rates, pattern, strict=True):
+                odds += math.log(yes / (1 - no)) if v == "+" else math.log((1 - yes) / no) if v == "-" else 0.0
             posterior[pattern] = 1 / (1 + math.exp(-max(-50, min(50, odds))))
-        yes, total = sum(posterior[p] * n for p, n in counts.items()), sum(counts.values())
-        share = (yes + PRIOR_SPANS[0]) / (total + sum(PRIOR_SPANS))
+        share = (sum(posterior[p] * n for p, n in counts.items()) + PRIOR_SPANS[0]) / (total + sum(PRIOR_SPANS))
         for k in range(3):
-            for c in range(2):
-                weight = lambda p: posterior[p] if c == 0 else 1 - posterior[p]  # noqa: B023, E731
-                rates[k][c] = normed([PRIOR_VOTES[c][i] + sum(weight(p) * n for p, n in counts.items() if p[k] == v) for i, v in enumerate(VOTES)])
+            if varied[k]:
+                cast = [[sum((posterior[p] if c == 0 else 1 - posterior[p]) * n for p, n in counts.items() if p[k] == v) for v in "+-"] for c in range(2)]
+                found = (cast[0][0] + PRIOR_VOTES[0]) / (sum(cast[0]) + sum(PRIOR_VOTES)), (cast[1][1] + PRIOR_VOTES[0]) / (sum(cast[1]) + sum(PRIOR_VOTES))
+                rates[k] = tuple(min(MOST_RIGHT, max(LEAST_RIGHT, x)) for x in found)
     return posterior, rates
 
 
