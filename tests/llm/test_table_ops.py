@@ -164,24 +164,38 @@ def plain_top(rows, k):
     return out
 
 
+def cut(rows):
+    return {(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in rows}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_top_k_equals_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(topk, "ROW_BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 4 * 6 * 8)
+    monkeypatch.setattr(topk, "ROW_BYTES", 32 * 6 * 8)
     rng = np.random.default_rng(seed)
     rows = [(i, [float(np.float32(c)) for c in rng.normal(0, 1 + seed, 6).round(seed)]) for i in range(150)]
-    rows += [(200, None), (220, [1.0, None]), (240, [float("nan")] * 6), (260, [float("inf")] * 6), (280, []), (281, []), (300, [1.0, 2.0]), (301, [3.0, 4.0]), (None, [1.0] * 6), (320, [3e30] * 6)]
+    rows += [(200, None), (220, [1.0, None]), (240, [float("nan")] * 6), (260, [float("inf")] * 6), (280, []), (281, []), (300, [1.0, 2.0]), (301, [3.0, 4.0]), (None, [1.0] * 6)]
+    rows += [(320, [3e30] * 6), (321, [-2e30] * 6), (340, [1e30] * 5 + [-3e30]), (361, [2.0**40] * 6), (380, [0.0] * 6)]
     frame = spark.createDataFrame([(i, v, 1, "q") for i, v in rows], "vec_id long, embedding array<float>, dim int, score string")
     found = {tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 20).collect()}
-    expected = plain_top(rows, 20)
-    small = lambda s: {x for x in s if x[0] != 320 and x[2] != 320}
-    assert small(found) == small({(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in expected})
+    real = [(i, None if v is None else [c if c is None else float(np.float32(c)) for c in v]) for i, v in rows]
+    assert found == cut(plain_top(real, 20))
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_scores_beyond_64_bits_are_ranked(spark):
+    """Scores that all show as the same 64-bit number, up and down, and components whose scaled value is no double any more."""
+    rows = [(0, [1e300, 1.0]), (20, [-1e300, 2.0])] + [(i, [float(i) * 1e12, 0.0]) for i in range(1, 8)] + [(11, [1e307, 0.0]), (12, [-1.5e308, 0.0]), (13, [0.0, 5.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scores = lambda q: sorted((-sum(int(a) * 64 * int(b) * 64 for a, b in zip(q[1], v, strict=True)), i) for i, v in rows if i != q[0])
+    expected = cut({(q[0], r + 1, i, -s) for q in rows[:2] for r, (s, i) in enumerate(scores(q)[:5])})
+    assert {tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 5).collect()} == expected
+    assert sorted([2**200, 2**63, 2**63 - 1, -(2**63) - 1, -(2**300), 2**64], key=lambda s: (topk.over(s), min(s, 2**63 - 1))) == [-(2**300), -(2**63) - 1, 2**63 - 1, 2**63, 2**64, 2**200]
+
+
 def test_queries_of_one_id_give_their_own_ranks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
-    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 2 * 4 * 8)
+    monkeypatch.setattr(topk, "ROW_BYTES", 16 * 4 * 8)
     rng = np.random.default_rng(4)
     a, b = rng.integers(-9, 9, (2, 4)).astype(float).tolist()
     others = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(1, 60)]
@@ -191,15 +205,44 @@ def test_queries_of_one_id_give_their_own_ranks(spark, monkeypatch):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
+def side(x, ids, pivots):
+    q, _ = topk.quantised(x.ravel(), x.shape[1])
+    return topk.Side(x, ids, topk.to_pivots(q, pivots), (q * q).sum(1))
+
+
 def test_search_stops_before_all_candidates():
     rng = np.random.default_rng(3)
     centres = rng.integers(-400, 400, (20, 16))
     rows = (centres[rng.integers(0, 20, 4000)] + rng.integers(-3, 3, (4000, 16))).astype(float)
-    pivots = topk.choose_pivots(rows[:500])
-    for at, best, scores in topk.search(rows[:5], np.arange(5), rows, np.arange(4000), pivots, 20):
-        real = rows @ rows[at]
+    pivots = topk.choose_pivots(topk.quantised(rows[:500].ravel(), 16)[0])
+    evaluated = []
+    query, ids, scores = topk.search(side(rows[:5], np.arange(5), pivots), side(rows, np.arange(4000), pivots), 20, np.full(5, -np.inf), evaluated)
+    assert sum(evaluated) < 0.6 * 5 * 4000
+    for at in range(5):
+        real = (rows * 64) @ (rows[at] * 64)
         real[at] = -np.inf
-        assert sorted(scores, reverse=True) == sorted(real, reverse=True)[:20] and at not in best
+        assert sorted(scores[query == at], reverse=True) == sorted(real, reverse=True)[:20] and at not in ids[query == at]
+
+
+def test_blocks_are_skipped(spark, monkeypatch):
+    """Clustered vectors: the pivots' ranges leave a query few of the blocks, and the results are those of brute force."""
+    monkeypatch.setattr(topk, "ROW_BYTES", 64 * 8 * 8)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 8, (12, 8))
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.05, 8)).astype(np.float32).astype(float).tolist()) for i in range(1200)]
+    seen, real = [], topk.visits
+
+    def watched(queries, blocks, first):
+        out = real(queries, blocks, first)
+        seen.append((out.count(), queries.count() * sum(blocks.count.values())))
+        return out
+
+    monkeypatch.setattr(topk, "visits", watched)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 20).collect()} == plain_top(rows, 20)
+    assert sum(n for n, _ in seen) < 0.3 * seen[0][1]
+    monkeypatch.setattr(topk, "MOST_RANGES", 1)  # without ranges every block is visited, with the same results
+    assert {tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 20).collect()} == plain_top(rows, 20)
 
 
 # -- quality
