@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import SortKey, with_position
 from . import near_dedup, packing, pii, quality, suffix_dedup
-from .common import staged, table
+from .common import fresh, staged, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         rows, key = named, "doc_id"
     else:  # numbered in the order of id and text, the texts are told apart and the first of a class is as before
-        rows, key = with_position(named.dropDuplicates(["doc_id", "text"]), (SortKey("doc_id"), SortKey("text", nulls_last=False)), "_nth"), "_nth"
+        (key,) = fresh(docs, "_nth")
+        rows = with_position(named.dropDuplicates(["doc_id", "text"]), (SortKey("doc_id"), SortKey("text", nulls_last=False)), key)
     kept = near_dedup.classes(rows.select(F.col(key).alias("doc_id"), "text"), words=5, percent=80).where("kept").select(F.col("doc_id").alias(key)).distinct()
     out = rows.join(kept, key, "left_semi").select(*docs.columns)
     return out.unionByName(docs.where(F.col("doc_id").isNull()))

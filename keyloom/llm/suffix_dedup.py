@@ -1,17 +1,18 @@
 """Exact removal of repeated passages: every byte in a string of `length` bytes that also starts earlier goes.
 
-Sorting all suffixes of a corpus moves several times its size.  Two exact reductions come first:
+A suffix sort of a corpus moves several times its size.  Exact reductions come first:
 
 * Documents whose text another one has already are repeats as a whole.
 * Each window of `length` bytes has a minimiser: the leftmost of its GRAM-byte strings with the least hash.  Equal
-  windows have equal minimisers at equal places, so windows whose minimiser is nowhere else are unique.  Texts are told
-  apart by the 64-bit hash that is their key.
-
-The other windows are dealt out by minimiser.  Windows with the same minimiser are neighbours in the text, so they travel
-as one short string.  A task then orders the suffixes of the strings it has by difference covers (suffix_array), and the
-windows that agree with their neighbour in that order form the classes of equal windows; all but the first of a class
-are repeats.  A minimiser with more than HOT occurrences travels as single windows under their own hashes, of which
-every worker sends one of a kind, so no key gathers more strings than there are workers' batches.
+  windows have equal minimisers at equal places, so windows whose minimiser is nowhere else are unique.  Windows with
+  the same minimiser are neighbours in the text and form one string.
+* Of equal strings all but the first are repeats.  A minimiser that has one string left is settled with that.
+
+The strings that are left, of which others hold the same minimiser, are cut once more by longer minimisers (FINE_GRAM),
+which leaves less of their edges.  The windows of what is left then are sorted by a distributed difference-cover
+algorithm (suffix_order) and compared with their neighbours.
+
+Texts and strings are told apart by hashes of 64 and 128 bits, windows byte by byte.
 """
 
 from __future__ import annotations
@@ -21,17 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, release, scratch, slices, staged, tasks, unstage
-from .graph import unique_join
+from .common import batch, fresh, release, scratch, slices, staged, tasks, unstage
+from .graph import counted, unique_join
 from .near_dedup import _BYTE_VALUES, _powers, mix
-from .suffix_array import MOST, equal_neighbours, suffix_order
+from .suffix_order import repeated_windows
 
-LENGTH, GRAM, HOT = 100, 32, 1000
-#: Bytes of text indexed at a time, of text cut into strings at a time, and of strings sorted at a time.
-INDEX_BYTES, CUT_BYTES, SORT_BYTES = 1 << 20, 4 << 20, 1 << 20
+LENGTH, GRAM, FINE_GRAM = 100, 32, 64
+#: Bytes of text indexed at a time, and of text cut into strings at a time.
+INDEX_BYTES, CUT_BYTES = 1 << 20, 4 << 20
 NO_ID = -(2**63)
 _VALUES = _BYTE_VALUES.copy()
 _VALUES[65:91] = np.random.default_rng(7).integers(1, 1 << 63, 26, dtype=np.uint64)  # here A is not a
@@ -46,29 +47,29 @@ def gram_hashes(flat: np.ndarray, size: int) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * down[: len(flat) - size + 1])
 
 
-def minimisers(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def minimisers(flat: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Texts laid end to end -> runs of windows with one minimiser: first and last window, the minimiser's place, its hash.
 
-    A run lies in one text.
+    A run lies in one text.  The leftmost of the least hashes counts, all their bits.
     """
     n = len(flat)
+    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
-    hashes = gram_hashes(flat, GRAM)
-    bits = _U(max(1, n.bit_length()))
-    low = (hashes >> bits) << bits | np.arange(len(hashes), dtype=np.uint64)
-    have, wanted = 1, length - GRAM + 1
+        return none
+    hashes = gram_hashes(flat, gram)
+    low, place = hashes, np.arange(len(hashes), dtype=np.int32 if len(hashes) < 1 << 31 else np.int64)
+    have, wanted = 1, length - gram + 1
     while have < wanted:
         step = min(have, wanted - have)
-        low = np.minimum(low[:-step], low[step:])
+        right = low[step:] < low[:-step]
+        low, place = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step])
         have += step
-    place = (low & ((_U(1) << bits) - _U(1))).astype(np.int64)  # of each window from 0 to n - length
-    text = np.searchsorted(ends, np.arange(len(place)), side="right")
-    valid = np.arange(len(place)) + length <= ends[text]
-    window = np.flatnonzero(valid)
+    at = np.arange(len(place))  # windows from 0 to n - length
+    text = np.searchsorted(ends, at, side="right")
+    window = np.flatnonzero(at + length <= ends[text])
     if not len(window):
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
-    at = place[window]
+        return none
+    at = place[window].astype(np.int64)
     new = np.append(True, (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1))
     first = window[new]
     last = np.append(window[np.flatnonzero(new)[1:] - 1], window[-1])
@@ -82,10 +83,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 _INDEX = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("runs", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))])
+#: In a packed run: bits of the number of windows, and of the place of the minimiser from the first of them.
+_BITS = 12
+
+
+def packed(first: np.ndarray, last: np.ndarray, place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Runs as one number each: the first window's place in its text, the number of windows, the minimiser's place from the first, and a bit that is free."""
+    return (first - begin) << (2 * _BITS + 1) | (last - first + 1) << (_BITS + 1) | (place - first) << 1
+
+
+def unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low = (1 << _BITS) - 1
+    return run >> (2 * _BITS + 1), run >> (_BITS + 1) & low, run >> 1 & low
 
 
 def index(docs: DataFrame, length: int) -> DataFrame:
-    """Keyed documents -> their runs of windows: packed (place of the first << 16, number << 1, whether the text has its minimiser again) and hashes."""
+    """Keyed documents -> their runs of windows, packed, the last bit telling whether the text has the minimiser again, and the minimisers' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -93,168 +106,107 @@ def index(docs: DataFrame, length: int) -> DataFrame:
             for a, b in slices(map(len, raw), INDEX_BYTES):
                 flat = np.frombuffer(b"".join(raw[a:b]), np.uint8)
                 ends = np.cumsum([len(r) for r in raw[a:b]])
-                first, last, _, hashes = minimisers(flat, ends, length)
+                first, last, place, hashes = minimisers(flat, ends, length)
                 text = np.searchsorted(ends, first, side="right")
                 order = np.lexsort((hashes, text))
                 twin = (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])
                 again = np.zeros(len(first), np.int64)
                 again[order[1:][twin]] = again[order[:-1][twin]] = 1
-                begin = ends - np.diff(ends, prepend=0)
-                packed = (first - begin[text]) << 16 | (last - first + 1) << 1 | again
+                runs = packed(first, last, place, (ends - np.diff(ends, prepend=0))[text]) | again
                 offsets = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in (packed, hashes)]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in (runs, hashes)]
                 yield pa.RecordBatch.from_arrays([rows.column("d").slice(a, b - a), rows.column("k").slice(a, b - a), *lists], schema=_INDEX)
 
     return docs.select("d", "k", "text").mapInArrow(run, "d long, k long, runs array<long>, hashes array<long>")
 
 
-_PART = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("body", pa.binary())])
-_PART_SQL = "key long, d long, k long, start long, size int, body binary"
-_SPAN = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+_PART = pa.schema([("hash", pa.int64()), ("key", pa.binary()), ("d", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("g", pa.int64()), ("body", pa.binary())])
+_PART_SQL = "hash long, key binary, d long, k long, start long, n long, g long, body binary"
+
+
+class _Parts:
+    """Collects the strings of one batch; one that equals an earlier one of the batch is a repeat already and goes without key and body."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.seen: set[bytes] = set()
+        self.rows: list[tuple] = []
+
+    def add(self, body: bytes, place: int, d: int, k: int, start: int, n: int, g: int, gram_hash: int) -> None:
+        string = body[place : place + n + self.length - 1]
+        if string not in self.seen:
+            self.seen.add(string)
+            self.rows.append((gram_hash, hashlib.blake2b(string, digest_size=16).digest(), d, k, start, n, g, string))
+        elif self.rows and (before := self.rows[-1])[1] is None and before[2:5] == (d, k, start - before[5]):
+            self.rows[-1] = (*before[:5], before[5] + n, *before[6:])  # goes on where the repeat before it ends
+        else:
+            self.rows.append((gram_hash, None, d, k, start, n, g, None))
+
+    def result(self) -> pa.RecordBatch:
+        return batch(dict(zip(_PART.names, zip(*self.rows, strict=True) if self.rows else [[]] * len(_PART), strict=True)), _PART)
 
 
 def strings(texts: DataFrame, length: int) -> DataFrame:
-    """Keyed documents with `found`, their runs whose minimiser recurs -> strings by key; a string without body is a repeat already."""
+    """Keyed documents with `found`, their runs (run, hash) whose minimiser recurs -> strings: minimiser's hash, key, document, place, windows, anchor, body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             raw = [x.as_py().encode("utf-8", "replace") for x in rows.column("text")]
-            owner, found = rows.column("found").value_lengths().to_numpy(), rows.column("found").flatten()
-            packed, hashes, hot = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            found = rows.column("found")
+            own, (runs, hashes) = found.value_lengths().to_numpy(), (found.flatten().field(c).to_numpy(zero_copy_only=False) for c in range(2))
             d, k = rows.column("d").to_numpy(), rows.column("k").to_numpy()
-            upto = np.cumsum(owner)
+            upto = np.cumsum(own)
             for a, b in slices(map(len, raw), CUT_BYTES):
-                yield from cut(raw[a:b], d[a:b], k[a:b], owner[a:b], *(x[upto[a] - owner[a] : upto[b - 1]] for x in (packed, hashes, hot)))
-
-    def cut(raw, d, k, owner, packed, hashes, hot) -> Iterator[pa.RecordBatch]:
-        doc = np.repeat(np.arange(len(raw)), owner)
-        start = packed >> 16
-        size = ((packed & 0xFFFF) >> 1) + length - 1
-        order = np.lexsort((start, k[doc], d[doc]))
-        seen: set[tuple[int, bytes]] = set()
-        out: dict[str, list] = {name: [] for name in _PART.names}
-
-        def put(*values) -> None:
-            for name, x in zip(_PART.names, values, strict=True):
-                out[name].append(x)
-
-        for i, at, n, key, many in zip(doc[order].tolist(), start[order].tolist(), size[order].tolist(), hashes[order].tolist(), hot[order].tolist(), strict=True):
-            body = raw[i][at : at + n]
-            if (key, body) in seen:  # an earlier one of this batch answers for it
-                put(key ^ at, d[i], k[i], at, n, None)
-                continue
-            seen.add((key, body))
-            if not many:
-                put(key, d[i], k[i], at, n, body)
-                continue
-            for j in range(n - length + 1):
-                one = body[j : j + length]
-                own = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
-                if (own, one) in seen:
-                    put(own ^ (at + j), d[i], k[i], at + j, length, None)
-                else:
-                    seen.add((own, one))
-                    put(own, d[i], k[i], at + j, length, one)
-        yield batch(out, _PART)
+                parts = _Parts(length)
+                cut = slice(upto[a] - own[a], upto[b - 1])
+                doc = np.repeat(np.arange(a, b), own[a:b])
+                start, n, g = unpacked(runs[cut])
+                order = np.lexsort((start, k[doc], d[doc]))
+                for i, at, size, place, h in zip(doc[order].tolist(), start[order].tolist(), n[order].tolist(), g[order].tolist(), hashes[cut][order].tolist(), strict=True):
+                    parts.add(raw[i], at, int(d[i]), int(k[i]), at, size, place, h)
+                yield parts.result()
 
     return texts.select("d", "k", "text", "found").mapInArrow(run, _PART_SQL)
 
 
-def repeats(body: list[bytes], priority: np.ndarray, length: int) -> np.ndarray:
-    """Strings and their order of precedence -> for every byte laid end to end, whether a repeated window begins there.
+def finer(open_strings: DataFrame, length: int, gram: int) -> DataFrame:
+    """Strings -> the strings that minimisers of `gram` bytes cut them into, like strings()."""
 
-    A window repeats if an equal one is in a string of less priority or, in the same string, before it.
-    """
-    flat = np.frombuffer(b"".join(body), np.uint8)
-    sizes = np.array([len(x) for x in body])
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(body)), sizes)
-    at = np.arange(len(flat))
-    window = at + length <= ends[owner]
-    order = suffix_order(flat, length)
-    order = order[window[order]]
-    out = np.zeros(len(flat), bool)
-    if not len(order):
-        return out
-    same = equal_neighbours(flat, order, length)
-    heads = np.flatnonzero(np.append(True, ~same))
-    rank = priority[owner[order]] * np.int64(1 << 32) + order
-    least = np.minimum.reduceat(rank, heads)
-    out[order] = rank > np.repeat(least, np.diff(np.append(heads, len(order))))
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            order = np.lexsort([rows.column(c).to_numpy() for c in ("start", "k", "d")])  # the first of a batch is to be the first of its like
+            rows = rows.take(pa.array(order))
+            raw = rows.column("body").to_pylist()
+            d, k, start = (rows.column(c).to_pylist() for c in ("d", "k", "start"))
+            for a, b in slices(map(len, raw), INDEX_BYTES):
+                parts = _Parts(length)
+                ends = np.cumsum([len(x) for x in raw[a:b]])
+                first, last, place, hashes = minimisers(np.frombuffer(b"".join(raw[a:b]), np.uint8), ends, length, gram)
+                of = np.searchsorted(ends, first, side="right")
+                at = first - (ends - np.diff(ends, prepend=0))[of]
+                for i, x, n, g, h in zip((of + a).tolist(), at.tolist(), (last - first + 1).tolist(), (place - first).tolist(), hashes.view(np.int64).tolist(), strict=True):
+                    parts.add(raw[i], x, d[i], k[i], start[i] + x, n, g, h)
+                yield parts.result()
 
+    return open_strings.select("d", "k", "start", "body").mapInArrow(run, _PART_SQL)
 
-def resolve(parts: DataFrame, length: int) -> DataFrame:
-    """Strings dealt out by key and sorted by it -> spans (d, k, start, stop) that repeat."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for rows in batches:
-            done = rows.filter(pa.compute.is_null(rows.column("body")))
-            if len(done):
-                start = done.column("start").to_numpy()
-                yield batch({"d": done.column("d"), "k": done.column("k"), "start": start, "stop": start + done.column("size").to_numpy()}, _SPAN)
-            rows = rows.filter(pa.compute.is_valid(rows.column("body")))
-            while len(rows):
-                keys = rows.column("key").to_numpy()
-                total = np.cumsum(rows.column("size").to_numpy())
-                cut = int(np.searchsorted(total, SORT_BYTES - size)) if size < SORT_BYTES else 0
-                if cut >= len(rows):
-                    held.append(rows)
-                    size += int(total[-1])
-                    break
-                # go on to the end of the key at the cut, and hold what ends there
-                reference = held[-1].column("key")[-1].as_py() if cut == 0 and held else keys[max(0, cut - 1)]
-                stop = cut + int(np.searchsorted(keys[cut:] != reference, True)) if (keys[cut:] != reference).any() else len(rows)
-                held.append(rows.slice(0, stop))
-                size += int(total[stop - 1]) if stop else 0
-                rows = rows.slice(stop)
-                if len(rows):
-                    yield from sorted_out(held)
-                    held, size = [], 0
-        if held:
-            yield from sorted_out(held)
-
-    def sorted_out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        key, d, k, start = (rows.column(c).to_numpy() for c in ("key", "d", "k", "start"))
-        body = rows.column("body").to_pylist()
-        order = np.lexsort((start, k, d))
-        first: dict[tuple[int, bytes], int] = {}
-        kinds: dict[int, int] = {}
-        out: list[tuple[int, int, int]] = []
-        for i in order.tolist():
-            if (key[i], body[i]) in first:
-                out.append((i, start[i], start[i] + len(body[i])))
-            else:
-                first[key[i], body[i]] = i
-                kinds[key[i]] = kinds.get(key[i], 0) + 1
-        # a key with one string alone may still repeat a window within it only if the window has no other minimiser: never
-        rest = [i for (own, _), i in first.items() if kinds[own] > 1]
-        for a, b in slices([len(body[i]) for i in rest], MOST - 64):
-            out += spans(rest[a:b], body, start)
-        if out:
-            at, lo, hi = (np.array(x) for x in zip(*out, strict=True))
-            yield batch({"d": d[at], "k": k[at], "start": lo, "stop": hi}, _SPAN)
-
-    def spans(rest: list[int], body: list[bytes], start: np.ndarray) -> list[tuple[int, int, int]]:
-        again = repeats([body[i] for i in rest], np.arange(len(rest)), length)
-        sizes = np.array([len(body[i]) for i in rest])
-        begin = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(rest)), sizes)
-        edge = np.flatnonzero(np.diff(again.astype(np.int8), prepend=0, append=0))
-        found = []
-        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            while x < y:  # a run may go on in the next string
-                o = owner[x]
-                z = min(y, int(begin[o] + sizes[o]))
-                i = rest[o]
-                found.append((i, int(start[i] + x - begin[o]), int(start[i] + z - 1 - begin[o] + length)))
-                x = z
-        return found
-
-    return parts.mapInArrow(run, "d long, k long, start long, stop long")
+def settled(parts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Strings -> spans (d, k, start, stop) of those that equal an earlier one, and the first ones of minimisers that have several.
+
+    No key gathers rows: firsts and counts are minima and sums that combine before they meet, and a string that is in
+    many places is dealt out.
+    """
+    span = ["d", "k", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop")]
+    known = parts.where(F.col("key").isNotNull())
+    firsts = staged(known.groupBy("key").agg(F.min(F.struct("d", "k", "start")).alias("first"), F.count("*").alias("n"), F.any_value("hash").alias("hash")), "firsts")
+    several = firsts.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1").select("hash", F.lit(True).alias("open"))
+    info = firsts.join(several, "hash", "left").where((F.col("n") > 1) | F.col("open")).select("key", "first", "open")
+    met = unique_join(known, info, "key", firsts.where("n > 1").select("key", "n"))
+    own = F.struct("d", "k", "start") == F.col("first")
+    done = staged(met.where(~own | F.col("open")).select("hash", "d", "k", "start", "n", "g", F.when(own, F.col("body")).alias("body")), "settled")
+    repeats = done.where("body is null").select(*span).unionAll(parts.where(F.col("key").isNull()).select(*span))
+    return repeats, done.where("body is not null")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -276,15 +228,21 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     counts = texts.groupBy(F.col("r.hashes").alias("hash")).agg(F.count("*").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi"), F.max(F.col("r.runs").bitwiseAND(1).cast("int")).alias("again"))
     again = staged(counts.where("lo <> hi or again = 1").select("hash", "n"), "recurring")
     release(spark)
-    met = unique_join(flat, again.withColumn("hot", F.col("n") > HOT).select("hash", "hot"), "hash", again, hint="shuffle_hash")
-    found = met.groupBy("row").agg(F.collect_list(F.struct("run", "hash", "hot")).alias("found")).join(runs.select("row", "d", "k"), "row").select("d", "k", "found")
+    met = unique_join(flat, again.select("hash"), "hash", again, hint="shuffle_hash")
+    found = met.groupBy("row").agg(F.collect_list(F.struct("run", "hash")).alias("found")).join(runs.select("row", "d", "k"), "row").select("d", "k", "found")
     found = staged(found.join(copies.select("d", "k"), ["d", "k"], "left_anti"), "found")
     del met, flat, texts, counts
     unstage(runs)
     release(spark)
     once = own.join(found.dropDuplicates(["d", "k"]), ["d", "k"]).dropDuplicates(["d", "k"])  # repeated rows are one document; in place, as the join has dealt out by d and k
-    parts = strings(once, length).repartition(tasks(spark), "key").sortWithinPartitions("key")
-    spans = resolve(parts, length).unionAll(copies.where(F.col("n") >= length).select("d", "k", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop")))
+    coarse = staged(strings(once, length), "strings")
+    unstage(found)
+    release(spark)
+    whole, left = settled(coarse, length)
+    fine = staged(finer(left, length, FINE_GRAM), "fine")
+    edges, left = settled(fine, length)
+    parts = [whole, edges, repeated_windows(left, length), copies.where(F.col("n") >= length).select("d", "k", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"))]
+    spans = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
     return staged(spans.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans", keep=True)
 
 
@@ -310,20 +268,24 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """docs (all columns) with `_spans`; of rows that share id and text, all but one repeat as a whole."""
-    spans = repeated_spans(docs, length).select(F.col("d").alias("_d"), F.col("k").alias("_k"), F.col("spans").alias("_spans"))
+def with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """docs (all columns) with a column of spans, and its name; of rows that share id and text, all but one repeat as a whole."""
+    d, k, name, salt, nth, least = fresh(docs, "_d", "_k", "_spans", "_salt", "_nth", "_least")
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.withColumn("_d", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_k", F.xxhash64(text))
-    out = own.join(spans, ["_d", "_k"], "left")
-    twice = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("k")).groupBy("d", "k").agg(F.count("*").alias("n")).where("n > 1")
-    if not twice.isEmpty():
-        from pyspark.sql import Window
-
-        nth = F.row_number().over(Window.partitionBy("_d", "_k").orderBy(F.lit(0)))
+    spans = repeated_spans(docs, length).select(F.col("d").alias(d), F.col("k").alias(k), F.col("spans").alias(name))
+    out = docs.withColumn(d, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(k, F.xxhash64(text))
+    if not counted(out.select(F.struct(d, k).alias("key")), "key").where("n > 1").isEmpty():
+        # the first of each part of a key's rows, then the first of those: no task gets all rows of a key
+        out = out.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(tasks(docs.sparkSession))).cast("int"))
+        out = out.withColumn(nth, F.row_number().over(Window.partitionBy(d, k, salt).orderBy(F.lit(0))))
+        among = F.when(F.col(nth) == 1, F.lit(-1)).otherwise(F.col(salt))
+        out = out.withColumn(least, among).withColumn(nth, F.row_number().over(Window.partitionBy(d, k, least).orderBy(salt)))
+        out = out.withColumn(nth, F.when((F.col(least) == -1) & (F.col(nth) == 1), F.lit(1)).otherwise(F.lit(2))).drop(salt, least)
         whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text).cast("long").alias("stop")))
-        out = out.withColumn("_n", nth).withColumn("_spans", F.when((F.col("_n") > 1) & (F.octet_length(text) >= length), whole).otherwise(F.col("_spans"))).drop("_n")
-    return out.drop("_d", "_k")
+        out = out.join(spans, [d, k], "left").withColumn(name, F.when((F.col(nth) > 1) & (F.octet_length(text) >= length), whole).otherwise(F.col(name))).drop(nth)
+    else:
+        out = out.join(spans, [d, k], "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], name), name
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -338,7 +300,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out: dict[str, list] = {name: [] for name in _RESULT.names[1:]}
-            for text, spans in zip(rows.column("text"), rows.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(rows.column("text"), rows.column(column).to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "replace")
                 runs = merged(spans or [], len(raw))
                 kept = kept_bytes(raw, runs)
@@ -346,13 +308,15 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out[name].append(x)
             yield batch({"doc_id": rows.column("doc_id")} | out, _RESULT)
 
-    return with_spans(docs.select("doc_id", "text"), length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found, column = with_spans(docs.select("doc_id", "text"), length)
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes out of `text`, all rows and columns kept; n_chars, where there is one, follows.
+    """docs with the repeated bytes out of `text`, all rows and columns kept, whatever their names; n_chars, where there is one, follows.
 
-    Characters that lose some of their bytes go as a whole.  A null text stays null.
+    Characters that lose some of their bytes go as a whole.  Defined cases are those of dedup, but that a null text stays
+    null.
     """
 
     @F.pandas_udf("string")
@@ -368,6 +332,6 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(kept_bytes(raw, merged([{"start": s["start"], "stop": s["stop"]} for s in own], len(raw))).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    found = with_spans(docs, length)
-    out = found.withColumn("text", kept("text", "_spans")).select(*docs.columns)
+    found, name = with_spans(docs, length)
+    out = found.withColumn("text", kept("text", F.col(name))).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keyloom.llm import graph, near_dedup, packing, pipeline, quality, queries, shards, suffix_array, suffix_dedup, topk
+from keyloom.llm import graph, near_dedup, packing, pipeline, quality, queries, shards, suffix_dedup, suffix_order, topk
 
 from .conftest import DATA
 
@@ -383,12 +383,50 @@ def test_sharding_an_empty_table(spark, tmp_path):
 # -- repeated passages
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.binary(min_size=1, max_size=200).map(lambda b: bytes(97 + x % 3 for x in b)), st.integers(1, 40))
-def test_suffix_order(text, depth):
-    order = suffix_array.suffix_order(np.frombuffer(text, np.uint8), depth)
-    keys = [(text[i:] + bytes(depth))[:depth] for i in order]
-    assert sorted(order.tolist()) == list(range(len(text))) and keys == sorted(keys)
+@settings(max_examples=100, deadline=None)
+@given(st.binary(min_size=1, max_size=300).map(lambda b: bytes(97 + x % 2 for x in b)), st.sampled_from([(40, 16), (50, 32), (33, 33)]), st.integers(1, 4))
+def test_minimisers_are_the_leftmost_of_the_least(text, sizes, parts):
+    length, gram = sizes
+    ends = np.unique(np.linspace(0, len(text), parts + 1).astype(int)[1:])
+    flat = np.frombuffer(text, np.uint8)
+    first, last, place, hashes = suffix_dedup.minimisers(flat, ends, length, gram)
+    every = suffix_dedup.gram_hashes(flat, gram) if len(flat) >= gram else []
+    found = {w: (p, h) for f, z, p, h in zip(first.tolist(), last.tolist(), place.tolist(), hashes.tolist(), strict=True) for w in range(f, z + 1)}
+    starts = [0, *ends[:-1].tolist()]
+    windows = [w for a, b in zip(starts, ends.tolist(), strict=True) for w in range(a, b - length + 1)]
+    assert found == {w: min(((int(every[p]), p) for p in range(w, w + length - gram + 1)))[::-1] for w in windows}
+    assert suffix_dedup.unpacked(suffix_dedup.packed(first, last, place, np.zeros_like(first)))[0].tolist() == first.tolist()
+
+
+@pytest.mark.parametrize("length", [100, 47])
+def test_window_keys_tell_windows_apart(length):
+    """Keys of anchored windows are equal where the windows are, with names from the sorted triples, and sort like them within a class."""
+    rng = np.random.default_rng(length)
+    core = bytes(rng.integers(97, 99, 3 * length, dtype=np.uint8))
+    bodies, n, g = [], [], []
+    for _ in range(40):
+        a, size = int(rng.integers(0, 60)), int(rng.integers(1, 30))
+        own = bytearray(core[a : a + size + length - 1])
+        for at in rng.integers(0, len(own), int(rng.integers(0, 3))):
+            own[at] = 120
+        bodies.append(bytes(own))
+        n.append(size)
+        g.append(90 - a)
+    w = suffix_order.Windows(b"".join(bodies), np.array(n), np.array(g), length)
+    triples, inverse = w.triples()
+    rank = np.unique(suffix_order.as_strings(triples), return_inverse=True)[1]
+    keys = suffix_order.as_strings(w.keys(rank[inverse]))
+    real = [bodies[o][x : x + length] for o, x in zip(w.owner.tolist(), w.offset.tolist(), strict=True)]
+    named = [(int(c), t) for c, t in zip(w.kind, real, strict=True)]
+    assert len(set(named)) == len(np.unique(keys)) and len(set(w.kind.tolist())) == 3
+    order = np.argsort(keys, kind="stable")
+    assert [named[i] for i in order] == sorted(named)
+
+
+def test_triples_with_equal_hashes_are_told_apart():
+    keys = np.frombuffer(b"abcabdabcabe", np.uint8).reshape(4, 3)
+    found, inverse = suffix_order.different(keys, np.zeros(4, np.uint64))
+    assert found.tobytes() == b"abcabdabe" and inverse.tolist() == [0, 1, 0, 2]
 
 
 def plain_dedup(pairs, length):
@@ -406,10 +444,19 @@ def plain_dedup(pairs, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 1000])
-def test_repeats_equal_brute_force(docs, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    rng = np.random.default_rng(hot)
+@pytest.fixture(params=["as used", "small"])
+def sizes(request, monkeypatch):
+    """Blocks, ranges and batches as they are, and so small that there are many."""
+    if request.param == "small":
+        monkeypatch.setattr(suffix_order, "BLOCK_BYTES", 700)
+        monkeypatch.setattr(suffix_order, "RANGE_BYTES", 1500)
+        monkeypatch.setattr(suffix_dedup, "CUT_BYTES", 1000)
+        monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", 900)
+    return request.param
+
+
+def test_repeats_equal_brute_force(docs, sizes):
+    rng = np.random.default_rng(len(sizes))
     letters = np.array(list("abcdefg é"))
     passages = ["".join(rng.choice(letters, n)) for n in (99, 100, 101, 150, 400)]
     pairs = []
@@ -430,9 +477,25 @@ def test_repeats_of_odd_rows(docs, nasty):
     assert kept.columns == twice.columns and sorted(r["text"] for r in kept.collect())[:3] == [""] * 3
 
 
-@pytest.mark.parametrize("hot", [2, 1000])
-def test_repeated_rows_keep_one_copy_of_their_passages(docs, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def test_clashing_columns_stay(spark):
+    text = "".join(np.random.default_rng(2).choice(list("abcdefg"), 150))
+    rows = spark.createDataFrame([(1, text, 1, 2, 3, 4, 5, 6, 7), (2, text, 1, 2, 3, 4, 5, 6, 7), (2, text, 1, 2, 3, 4, 5, 6, 8)], "doc_id long, text string, _k int, _d int, _spans int, _n int, _nth int, _salt int, first int")
+    found = suffix_dedup.remove(rows)
+    assert found.columns == rows.columns and sorted((r["doc_id"], len(r["text"])) for r in found.collect()) == [(1, 150), (2, 0), (2, 0)]
+    kept = pipeline.minhash_near_dedup(spark, rows, DATA)
+    assert kept.columns == rows.columns and [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def test_a_passage_in_very_many_documents(spark, sizes):
+    """One passage in 1,500 documents, each time between other words: it stays in the first, and no window of it is lost."""
+    rng = np.random.default_rng(7)
+    passage = "".join(rng.choice(list("abcdefg "), 260))
+    pairs = [(i, f"{rng.integers(1e12)} {passage} {rng.integers(1e12)}") for i in range(1500 if sizes == "as used" else 150)]
+    frame = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.dedup(frame).collect())) == plain_dedup(pairs, 100)
+
+
+def test_repeated_rows_keep_one_copy_of_their_passages(docs, sizes):
     rng = np.random.default_rng(5)
     shared, within, a, b, c = ("".join(rng.choice(list("abcdefg é"), n)) for n in (180, 150, 90, 70, 60))
     mine, other = a + shared + within + b + within, c + shared + b
