@@ -47,29 +47,42 @@ def gram_hashes(flat: np.ndarray, size: int) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * down[: len(flat) - size + 1])
 
 
+#: Bits of a place among the hashes that are compared at a time; the other bits of a hash decide, in every batch the same ones.
+_PLACE_BITS = 20
+_PLACES = _U((1 << _PLACE_BITS) - 1)
+
+
+def leftmost_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` neighbouring hashes the place of the least one, by its upper bits, the leftmost of equal ones."""
+    out = np.empty(len(hashes) - width + 1, np.int64)
+    step = (1 << _PLACE_BITS) - width
+    for a in range(0, len(out), step):
+        part = hashes[a : a + step + width - 1]
+        low = part & ~_PLACES | np.arange(len(part), dtype=np.uint64)
+        have = 1
+        while have < width:
+            more = min(have, width - have)
+            low = np.minimum(low[:-more], low[more:])
+            have += more
+        out[a : a + step] = (low & _PLACES).astype(np.int64) + a
+    return out
+
+
 def minimisers(flat: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Texts laid end to end -> runs of windows with one minimiser: first and last window, the minimiser's place, its hash.
 
-    A run lies in one text.  The leftmost of the least hashes counts, all their bits.
+    A run lies in one text.
     """
     n = len(flat)
     none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
     if n < length:
         return none
     hashes = gram_hashes(flat, gram)
-    low, place = hashes, np.arange(len(hashes), dtype=np.int32 if len(hashes) < 1 << 31 else np.int64)
-    have, wanted = 1, length - gram + 1
-    while have < wanted:
-        step = min(have, wanted - have)
-        right = low[step:] < low[:-step]
-        low, place = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step])
-        have += step
-    at = np.arange(len(place))  # windows from 0 to n - length
-    text = np.searchsorted(ends, at, side="right")
-    window = np.flatnonzero(at + length <= ends[text])
+    place = leftmost_least(hashes, length - gram + 1)  # of windows from 0 to n - length
+    window = np.flatnonzero(np.arange(len(place)) + length <= np.repeat(ends, np.diff(ends, prepend=0))[: len(place)])
     if not len(window):
         return none
-    at = place[window].astype(np.int64)
+    at = place[window]
     new = np.append(True, (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1))
     first = window[new]
     last = np.append(window[np.flatnonzero(new)[1:] - 1], window[-1])
