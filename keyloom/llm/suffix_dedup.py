@@ -214,14 +214,19 @@ def settled(parts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     known = parts.where(F.col("key").isNotNull())
     firsts = staged(known.groupBy("key").agg(F.min(F.struct("d", "k", "start")).alias("first"), F.count("*").alias("n"), F.any_value("hash").alias("hash")), "firsts")
     several = firsts.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1").select("hash", F.lit(True).alias("open"))
-    info = firsts.join(several, "hash", "left").where((F.col("n") > 1) | F.col("open")).select("key", "first", "open")
-    met = unique_join(known, info, "key", firsts.where("n > 1").select("key", "n"))
+    info = firsts.join(several.hint("shuffle_hash"), "hash", "left").where((F.col("n") > 1) | F.col("open")).select("key", "first", "open")
+    met = unique_join(known, info, "key", firsts.where("n > 1").select("key", "n"), hint="shuffle_hash")
     own = F.struct("d", "k", "start") == F.col("first")
     done = staged(met.where(~own | F.col("open")).select("hash", "d", "k", "start", "n", "g", F.when(own, F.col("body")).alias("body")), "settled")
     repeats = done.where("body is null").select(*span).unionAll(parts.where(F.col("key").isNull()).select(*span))
     return repeats, done.where("body is not null")
 
 
+def repeated_rows(rows: DataFrame, *names: str) -> DataFrame:
+    """Keys of documents (d and k by default) that several rows have."""
+    return counted(rows.select(F.struct(*(names or ("d", "k"))).alias("key")), "key").where("n > 1")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Documents (doc_id, text) -> d, k and `spans`, the repeated spans of each keyed document that has any."""
     with scratch(docs.sparkSession):
@@ -247,13 +252,17 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     del met, flat, texts, counts
     unstage(runs)
     release(spark)
-    once = own.join(found.dropDuplicates(["d", "k"]), ["d", "k"]).dropDuplicates(["d", "k"])  # repeated rows are one document; in place, as the join has dealt out by d and k
+    if not repeated_rows(found).isEmpty():  # repeated rows are one document; in place, as the join has dealt out by d and k
+        once = own.join(found.dropDuplicates(["d", "k"]), ["d", "k"]).dropDuplicates(["d", "k"])
+    else:
+        once = own.join(found, ["d", "k"])
     coarse = staged(strings(once, length), "strings")
     unstage(found)
     release(spark)
     whole, left = settled(coarse, length)
     fine = staged(finer(left, length, FINE_GRAM), "fine")
     edges, left = settled(fine, length)
+    release(spark)
     parts = [whole, edges, repeated_windows(left, length), copies.where(F.col("n") >= length).select("d", "k", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"))]
     spans = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
     return staged(spans.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans", keep=True)
@@ -287,7 +296,7 @@ def with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = repeated_spans(docs, length).select(F.col("d").alias(d), F.col("k").alias(k), F.col("spans").alias(name))
     out = docs.withColumn(d, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(k, F.xxhash64(text))
-    if not counted(out.select(F.struct(d, k).alias("key")), "key").where("n > 1").isEmpty():
+    if not repeated_rows(out, d, k).isEmpty():
         # the first of each part of a key's rows, then the first of those: no task gets all rows of a key
         out = out.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(tasks(docs.sparkSession))).cast("int"))
         out = out.withColumn(nth, F.row_number().over(Window.partitionBy(d, k, salt).orderBy(F.lit(0))))

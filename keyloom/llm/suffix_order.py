@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, release, staged, tasks
+from .near_dedup import mix
 
 #: Bytes of strings in a block, and of keys that one task sorts at a time.
 BLOCK_BYTES, RANGE_BYTES = 1 << 20, 8 << 20
 #: Blocks that the borders of the ranges are drawn from, at most, and keys of each.
 SAMPLE_BLOCKS, SAMPLE_KEYS = 64, 512
+_FACTORS = np.random.default_rng(20).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _BLOCK = pa.schema([("block", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("d", "k", "start", "n", "g")], ("body", pa.binary())])
 _BLOCK_SQL = "block long, d array<long>, k array<long>, start array<long>, n array<long>, g array<long>, body binary"
@@ -68,13 +70,24 @@ def blocks_of(strings: DataFrame) -> DataFrame:
     return strings.select(*names).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _BLOCK_SQL)
 
 
-def different(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of bytes and a hash of each -> the different rows, and for each row the number of its like."""
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    if (keys[first[inverse]] == keys).all():
-        return keys[first], inverse
-    found, inverse = np.unique(as_strings(keys), return_inverse=True)  # two rows share a hash
-    return as_bytes(found, keys.shape[1]), inverse
+def different(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of numbers, column by column -> the numbers of the first ones of the different rows, and for each row which of these it is like."""
+    hashes = mix(sum((x * f for x, f in zip(words, _FACTORS, strict=False)), np.zeros(len(words[0]), np.uint64)))
+    for order in (np.argsort(hashes), None):
+        ranked = [hashes[order]] if order is not None else []
+        if order is None:  # two rows share a hash
+            order = np.lexsort(words)
+            ranked = [x[order] for x in words]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for x in ranked:
+            new[1:] |= x[1:] != x[:-1]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        first = order[new]
+        if all((x[first][inverse] == x).all() for x in words):
+            break
+    return first, inverse
 
 
 def as_strings(rows: np.ndarray) -> np.ndarray:
@@ -95,8 +108,8 @@ class Windows:
     """A block's windows: where each begins, its class, and where the triples are whose names it needs."""
 
     def __init__(self, body: bytes, n: np.ndarray, g: np.ndarray, length: int):
-        if length < 10:
-            raise ValueError("a window has ten symbols")
+        if length < 30:
+            raise ValueError("a window has ten symbols of three bytes at least")
         self.length, self.w = length, length // 10
         self.flat = np.frombuffer(body, np.uint8)
         sizes = n + length - 1
@@ -106,25 +119,29 @@ class Windows:
         self.at = (np.cumsum(sizes) - sizes)[owner] + self.offset
         self.kind = ((self.offset - g[owner]) // self.w) % 3
         steps = np.array([[1, 4, 7, -1], [0, 3, 6, 7], [0, 3, 6, -1]])[self.kind]
-        self.needed = np.where(steps >= 0, self.at[:, None] + steps * self.w, -1)
-        self.places = np.unique(self.needed)
-        self.places = self.places[self.places >= 0]
+        self.needed = np.where(steps >= 0, self.at[:, None] + steps * self.w, len(self.flat))
+        there = np.zeros(len(self.flat) + 1, bool)
+        there[self.needed] = True
+        there[-1] = False
+        self.places = np.flatnonzero(there)
+        self.number = np.cumsum(there) - 1  # of each needed place among them
 
     def bytes_at(self, at: np.ndarray, width: int) -> np.ndarray:
         return np.lib.stride_tricks.sliding_window_view(self.flat, width)[at]
 
     def triples(self) -> tuple[np.ndarray, np.ndarray]:
         """The different triples, and for each needed place the number of its triple."""
-        from .suffix_dedup import gram_hashes
-
+        width = 3 * self.w
         if not len(self.places):
-            return np.zeros((0, 3 * self.w), np.uint8), np.zeros(0, np.int64)
-        return different(self.bytes_at(self.places, 3 * self.w), gram_hashes(self.flat, 3 * self.w)[self.places])
+            return np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
+        every = np.ndarray(len(self.flat) - 7, np.uint64, self.flat, strides=(1,))  # the 8 bytes from each place
+        first, inverse = different([every[self.places + at] for at in (*range(0, width - 7, 8), *([width - 8] if width % 8 else []))])
+        return self.bytes_at(self.places[first], width), inverse
 
     def keys(self, names: np.ndarray) -> np.ndarray:
         """The names of the needed places -> each window as bytes that equal, and sort, as windows of its class do."""
         w, tail = self.w, self.length - 10 * self.w
-        own = names[np.searchsorted(self.places, np.maximum(self.needed, 0)).clip(0, max(0, len(names) - 1))] if len(names) else np.zeros((0, 4), np.int64)
+        own = np.append(names, 0)[self.number[self.needed]]
         out = np.zeros((len(self.at), 1 + max(24 + w, 32) + tail), np.uint8)
         out[:, 0] = self.kind
         for kind in range(3):
