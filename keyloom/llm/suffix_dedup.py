@@ -33,6 +33,8 @@ from .suffix_order import repeated_windows
 LENGTH, GRAM, FINE_GRAM = 100, 32, 64
 #: Bytes of text indexed at a time, and of text cut into strings at a time.
 INDEX_BYTES, CUT_BYTES = 1 << 20, 4 << 20
+#: Whole copies whose numbers may be broadcast.
+BROADCAST_ROWS = 1 << 20
 NO_ID = -(2**63)
 _VALUES = _BYTE_VALUES.copy()
 _VALUES[65:91] = np.random.default_rng(7).integers(1, 1 << 63, 26, dtype=np.uint64)  # here A is not a
@@ -101,17 +103,17 @@ _BITS = 12
 
 
 def packed(first: np.ndarray, last: np.ndarray, place: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Runs as one number each: the first window's place in its text, the number of windows, the minimiser's place from the first, and a bit that is free."""
-    return (first - begin) << (2 * _BITS + 1) | (last - first + 1) << (_BITS + 1) | (place - first) << 1
+    """Runs as one number each: the first window's place in its text, the number of windows, and the minimiser's place from the first."""
+    return (first - begin) << (2 * _BITS) | (last - first + 1) << _BITS | (place - first)
 
 
 def unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = (1 << _BITS) - 1
-    return run >> (2 * _BITS + 1), run >> (_BITS + 1) & low, run >> 1 & low
+    return run >> (2 * _BITS), run >> _BITS & low, run & low
 
 
 def index(docs: DataFrame, length: int) -> DataFrame:
-    """Keyed documents -> their runs of windows, packed, the last bit telling whether the text has the minimiser again, and the minimisers' hashes."""
+    """Keyed documents -> their runs of windows, packed, and the minimisers' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -121,11 +123,7 @@ def index(docs: DataFrame, length: int) -> DataFrame:
                 ends = np.cumsum([len(r) for r in raw[a:b]])
                 first, last, place, hashes = minimisers(flat, ends, length)
                 text = np.searchsorted(ends, first, side="right")
-                order = np.lexsort((hashes, text))
-                twin = (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])
-                again = np.zeros(len(first), np.int64)
-                again[order[1:][twin]] = again[order[:-1][twin]] = 1
-                runs = packed(first, last, place, (ends - np.diff(ends, prepend=0))[text]) | again
+                runs = packed(first, last, place, (ends - np.diff(ends, prepend=0))[text])
                 offsets = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in (runs, hashes)]
                 yield pa.RecordBatch.from_arrays([rows.column("d").slice(a, b - a), rows.column("k").slice(a, b - a), *lists], schema=_INDEX)
@@ -241,15 +239,14 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     weights = firsts.select("text_md5", F.col("n_rows").alias("n"))
     copies = staged(unique_join(same, firsts.select("text_md5", "first"), "text_md5", weights).where("d <> first.d or k <> first.k").select("d", "k", "n").distinct(), "copies")
     runs = staged(index(own, length).withColumn("row", F.monotonically_increasing_id()), "index")  # numbered once, as written
-    flat = runs.select("row", F.explode(F.arrays_zip("runs", "hashes")).alias("r")).select("row", F.col("r.runs").alias("run"), F.col("r.hashes").alias("hash"))
-    texts = runs.select(F.col("k").alias("text"), F.explode(F.arrays_zip("runs", "hashes")).alias("r"))
-    counts = texts.groupBy(F.col("r.hashes").alias("hash")).agg(F.count("*").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi"), F.max(F.col("r.runs").bitwiseAND(1).cast("int")).alias("again"))
-    again = staged(counts.where("lo <> hi or again = 1").select("hash", "n"), "recurring")
+    gone = runs.select("row", "d", "k").join(copies, ["d", "k"]).select("row")
+    once = runs.join(F.broadcast(gone) if copies.count() <= BROADCAST_ROWS else gone, "row", "left_anti")  # 8 bytes a row
+    flat = once.select("row", F.explode(F.arrays_zip("runs", "hashes")).alias("r")).select("row", F.col("r.runs").alias("run"), F.col("r.hashes").alias("hash"))
+    again = staged(flat.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "recurring")
     release(spark)
     met = unique_join(flat, again.select("hash"), "hash", again, hint="shuffle_hash")
-    found = met.groupBy("row").agg(F.collect_list(F.struct("run", "hash")).alias("found")).join(runs.select("row", "d", "k"), "row").select("d", "k", "found")
-    found = staged(found.join(copies.select("d", "k"), ["d", "k"], "left_anti"), "found")
-    del met, flat, texts, counts
+    found = staged(met.groupBy("row").agg(F.collect_list(F.struct("run", "hash")).alias("found")).join(runs.select("row", "d", "k"), "row").select("d", "k", "found"), "found")
+    del met, flat, once, gone
     unstage(runs)
     release(spark)
     if not repeated_rows(found).isEmpty():  # repeated rows are one document; in place, as the join has dealt out by d and k
