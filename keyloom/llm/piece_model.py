@@ -15,8 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 
 SPACE = "▁"
-#: Words kept in a worker's memo, and bytes of new words indexed at a time.
-MEMO_WORDS, INDEX_BYTES = 600_000, 1 << 19
+#: Characters of the words kept in a worker's memo, and of new words indexed at a time.
+MEMO_CHARS, INDEX_BYTES = 8_000_000, 1 << 19
 #: Longer words, in characters, are relaxed one by one.
 LONG_WORD = 64
 _WORD = re.compile(" +[^ ]*")
@@ -64,6 +64,7 @@ class PieceModel:
             self._blocks.append((at, own, *(np.array([int.from_bytes(x.ljust(8, fill), "big") for x in part], np.uint64) for fill in (b"\0", b"\xff"))))
         self._byte_ids = np.array([self.bytes.get(b, self.unknown) for b in range(256)])
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     # -- matching ---------------------------------------------------------------------------------------------
 
@@ -83,7 +84,7 @@ class PieceModel:
         ids = self._piece[which]
         fits = ends <= len(text)
         starts, ends, ids = starts[fits], ends[fits], ids[fits]
-        order = np.argsort(starts * 256 + np.minimum(ends - starts, 255))
+        order = np.lexsort((ends, starts))
         return starts[order], ends[order], ids[order]
 
     # -- encoding ---------------------------------------------------------------------------------------------
@@ -100,8 +101,9 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         split = [self.words(t) for t in texts]
-        if len(self.memo) > MEMO_WORDS:
+        if self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
         new = list(set().union(*split) - self.memo.keys())
         at = 0
         while at < len(new):
@@ -109,6 +111,7 @@ class PieceModel:
             while at < len(new) and (at == begin or size < INDEX_BYTES):
                 size += len(new[at])
                 at += 1
+            self.held += size
             self.memo.update(zip(new[begin:at], self._encode_words(new[begin:at]), strict=True))
         known = self.memo.__getitem__
         return [b"".join(map(known, x)) for x in split]
@@ -145,7 +148,7 @@ class PieceModel:
 
     def _relax(self, a, b, ids, word_at, lengths, n):
         """Merges in the order of rank, leftmost first; all words take their next merge together."""
-        width = min(int((b - a).max(initial=1)), 255)
+        width = int((b - a).max(initial=1))
         table = np.full((n + 1, width + 1), -1, np.int32)  # piece over (character, length)
         table[a, b - a] = ids
         heads = np.ones(n + 1, bool)

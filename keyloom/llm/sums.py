@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 def partition_sums(df: DataFrame, width: int, add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
     """The sum over all rows of what `add` puts into a vector of `width` doubles.
 
-    Each task keeps one vector.  The vectors of a square root of the tasks meet in each task of a second stage, so that
-    neither one of them nor the driver receives more than a square root of all vectors.
+    Each task keeps one vector.  The vectors of a square root of the tasks meet in each task of a second stage, and theirs
+    in the one task of a third, so that none receives more than a square root of all vectors and the driver gets one.
     """
     spread = max(1, int(df.sparkSession.sparkContext.defaultParallelism ** 0.5 * 2))
 
@@ -34,14 +34,12 @@ def partition_sums(df: DataFrame, width: int, add: Callable[[np.ndarray, pa.Reco
             for blob in rows.column("v"):
                 total += np.frombuffer(blob.as_buffer(), np.float64)
                 some = True
-        if some:  # a partition without vectors sends none to the driver
+        if some:  # a partition without vectors sends none
             yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
     sums = df.mapInArrow(first, "g int, v binary").repartition(spread, F.col("g")).mapInArrow(second, "v binary")
-    total = np.zeros(width)
-    for row in sums.collect():  # `spread` rows at most
-        total += np.frombuffer(row["v"], np.float64)
-    return total
+    found = sums.repartition(1).mapInArrow(second, "v binary").collect()  # one row, or none of no rows
+    return np.frombuffer(found[0]["v"], np.float64).copy() if found else np.zeros(width)
 
 
 def float_rows(rows: pa.RecordBatch, name: str) -> np.ndarray:

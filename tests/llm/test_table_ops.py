@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keyloom.llm import graph, near_dedup, packing, pipeline, quality, queries, shards, suffix_dedup, suffix_order, topk
+from keyloom.llm import graph, near_dedup, packing, pii, pipeline, quality, queries, shards, suffix_dedup, suffix_order, topk
 
 from .conftest import DATA
 
@@ -279,6 +279,46 @@ def test_isotonic_is_monotone():
     assert (np.diff(v) >= 0).all() and (np.diff(x) > 0).all()
 
 
+def plain_quality(pairs, labels):
+    """The whole score in NumPy: ridge by least squares on all rows, isotonic means by the minimax formula."""
+    crc = np.array([zlib.crc32(str(i).encode()) for i, _ in pairs])
+    x = np.array([quality.statistics(t or "") for _, t in pairs], np.float32).astype(float)
+    at = np.array([i for i, (d, _) in enumerate(pairs) if labels.get(d) is not None and crc[i] % 3 != 1])
+    y, fold, d = np.array([float(labels[pairs[i][0]] > 0) for i in at]), crc[at] // 3 % 4, x.shape[1]
+    mean = x[at].mean(0)
+    scale = np.sqrt(np.maximum((x[at] ** 2).mean(0) - mean**2, 1e-8))
+    random, m = np.random.default_rng(quality.SEED), quality.FEATURES
+    directions, phases = random.normal(0, 1 / np.sqrt(2 * d), (d, m)), random.uniform(0, 2 * np.pi, m)
+    z = np.column_stack([np.sqrt(2 / m) * np.cos(np.clip((x - mean) / scale, -6, 6) @ directions + phases), np.ones(len(x))])
+
+    def ridge(rows, p):
+        pull = np.diag(np.sqrt([p * len(rows) + 1e-9] * m + [1e-9]))
+        return np.linalg.lstsq(np.vstack([z[at][rows], pull]), np.concatenate([y[rows], np.zeros(m + 1)]), rcond=None)[0]
+
+    others = [np.flatnonzero(fold != k) for k in range(4)]
+    errors = {p: sum(((y - z[at] @ ridge(others[k], p))[fold == k] ** 2).sum() for k in range(4)) for p in quality.PENALTIES}
+    p = min(errors, key=errors.get)
+    raw = np.zeros(len(at))
+    for k in range(4):
+        raw[fold == k] = np.clip(z[at][fold == k] @ ridge(others[k], p), -0.5, 1.5)
+    bins = np.minimum(((raw + 0.5) / 2 * quality.BINS).astype(int), quality.BINS - 1)
+    used = np.unique(bins)
+    n, ones, centre = (np.array([f(bins == b) for b in used]) for f in (np.sum, lambda w: y[w].sum(), lambda w: raw[w].mean()))
+    level = [max(min(ones[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(n))) for a in range(i + 1)) for i in range(len(n))]
+    block = np.cumsum(np.append(0, np.diff(level) > 1e-12))
+    weight, good = np.bincount(block, n), np.bincount(block, ones)
+    return np.interp(z @ ridge(np.arange(len(at)), p), np.bincount(block, n * centre) / weight, np.maximum.accumulate((good + y.mean()) / (weight + 1)))
+
+
+def test_quality_equals_numpy(spark):
+    data = DATA.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    found = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    pairs = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    expected = plain_quality(pairs, {r["doc_id"]: r["quality"] for r in labels.collect()})
+    assert np.abs(np.array([found[i] for i, _ in pairs]) - expected).max() < 1e-3
+
+
 def test_quality_query_held_out_accuracy(spark):
     data = DATA.replace("0.001", "0.01")
     rows = queries.op6_quality_classifier(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -552,9 +592,35 @@ def test_near_dedup_decides_by_text_where_ids_repeat(spark, docs):
 
 
 def test_pipeline_runs(spark):
+    """The pipeline's pieces are those of its stages in plain Python, after the documents that the classifier accepts."""
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == packing.PACKED.names and out.count() > 0
     good = quality.accepted(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
-    kept = pipeline.minhash_near_dedup(spark, good, DATA)
-    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept.collect()}
+    texts = {r["doc_id"]: r["text"] for r in good.collect()}
+    kept = sorted({c for _, _, c in plain_classes(sorted(texts.items()), 5, 80)})
+    seen, left = set(), []
+    for i in kept:
+        raw = (texts[i] or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for j in range(len(raw) - 99):
+            gone[j : j + 100] |= raw[j : j + 100] in seen
+            seen.add(raw[j : j + 100])
+        left.append((i, bytes(np.frombuffer(raw, np.uint8)[~gone]).decode("utf-8", "ignore")))
+    counts = {}
+    for _, text in left:
+        for kind, _, _, votes, found in pii.propose(text)[1]:
+            for trait in ("", *found):
+                own = counts.setdefault(kind, {})
+                own[votes, trait] = own.get((votes, trait), 0) + 1
+    model = {kind: pii.classifier(own) for kind, own in counts.items()}
+    tokenizer, expected = Tokenizer.from_file(queries.tokenizer_path()), []
+    for i, text in left:
+        ids = [*tokenizer.encode(pii.mask_text(text, model), add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        for piece, a in enumerate([0, *range(first, len(ids), 2048)]):
+            own = ids[a : first if a == 0 else a + 2048]
+            expected.append((i, piece, a, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out.collect()) == sorted(expected)
