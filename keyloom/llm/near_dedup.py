@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, batch, scratch, slices, staged
+from .common import batch, scratch, slices, staged
 from .graph import components, counted, unique_join
 
 #: Permutations in a band (twice as many values), and the chance that a pair at the threshold shares no band.
 PER_BAND, MISS = 3, 1e-5
 SEED = 20240229
+#: Text whose shingles a Python worker hashes at a time, in bytes; a longer text comes alone.
+SHINGLE_BYTES = 1 << 18
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -53,7 +55,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the odd base and of its inverse."""
     if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, 2 * CHUNK_BYTES)
+        size = (n // SHINGLE_BYTES + 1) * SHINGLE_BYTES
         _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)])) for base in (_ODD, _INVERSE)]
     return _POWERS[0], _POWERS[1]
 
@@ -128,7 +130,7 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             texts = [x or "" for x in rows.column("text").to_pylist()]
-            for a, b in slices(map(len, texts), CHUNK_BYTES):
+            for a, b in slices(map(len, texts), SHINGLE_BYTES):
                 sets = shingle_sets(texts[a:b], words)
                 full = [s for s in sets if len(s)]
                 hashes = iter(band_hashes(full, bands).view(np.int64)) if full else iter(())
@@ -152,7 +154,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             texts = [x or "" for x in rows.column("text").to_pylist()]
-            for a, b in slices(map(len, texts), CHUNK_BYTES):
+            for a, b in slices(map(len, texts), SHINGLE_BYTES):
                 yield batch({"doc_id": rows.column("doc_id").slice(a, b - a), "shingles": [s.tobytes() for s in shingle_sets(texts[a:b], words)]}, schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
