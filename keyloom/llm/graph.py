@@ -45,6 +45,29 @@ def counted(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
+#: Bits of a sieve for each key, and of the largest one: 8 MB.  Beyond that many keys more rows pass that need not.
+SIEVE_BITS, SIEVE_MOST = 32, 1 << 26
+#: Bits in one of Spark's bitmaps.
+BITMAP = 1 << 15
+
+
+def sieved(left: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of left whose key is among keys (one column, `key`), and some others: those that share a hash with one.
+
+    A bitmap of the keys' hashes, no larger than SIEVE_MOST bits whatever the keys, is broadcast, so that wide rows are
+    left out before they are moved.  An exact join has to follow.  Null keys don't pass.
+    """
+    bits = min(SIEVE_MOST, max(BITMAP, 1 << (SIEVE_BITS * keys.count()).bit_length()))
+    bucket, place, bitmap = fresh(left, "bucket", "place", "bitmap")
+    hashed = F.pmod(F.xxhash64(key), F.lit(bits))
+    of_keys = keys.where(F.col(key).isNotNull()).select((hashed / BITMAP).cast("int").alias(bucket), (hashed % BITMAP).alias(place))
+    maps = of_keys.groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bitmap))
+    spread = left.where(F.col(key).isNotNull()).withColumn(bucket, (hashed / BITMAP).cast("int")).withColumn(place, (hashed % BITMAP).cast("int"))
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, {place} div 8 + 1, 1)")), 16, 10).cast("int")
+    passed = spread.join(F.broadcast(maps), bucket).where(F.getbit(byte, F.col(place) % 8) == 1)
+    return passed.select(*left.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) -> (node, component), component being the smallest node reachable; nodes without edges are absent.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, scratch, slices, staged
-from .graph import components, counted, unique_join
+from .graph import components, counted, sieved, unique_join
 
 #: Permutations in a band (twice as many values), and the chance that a pair at the threshold shares no band.
 PER_BAND, MISS = 3, 1e-5
@@ -218,8 +218,9 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     stars = staged(paired.select("doc", "size", F.col("pivot.doc").alias("pivot"), F.col("pivot.size").alias("pivot_size")).distinct(), "stars")
     near = F.expr(f"100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")
     pairs = stars.where("doc <> pivot").where(near).select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = staged(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "shingles"]), "shingles")
+    wanted = staged(members.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
+    # texts stay where they are: sets are made of few documents but those in buckets, and only these sets move
+    sets = staged(sets_of(sieved(docs.select("doc_id", "text"), wanted, "doc_id"), words).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "shingles"]), "shingles")
     links = staged(confirm(pairs, sets, percent).where("linked"), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = staged(components(links), "labels")
     more = staged(bucket_links(members.select("band", "doc"), centre.select("band", "pivot.doc"), stars.select("doc", "pivot"), label, sets, percent).distinct(), "links")
