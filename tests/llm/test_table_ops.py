@@ -124,6 +124,19 @@ def test_unique_join_of_hot_keys(spark, how):
     assert "hot_key" in spread._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("most", [1 << 15, 1 << 26])
+def test_sieve_loses_no_row_of_a_key(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "SIEVE_MOST", most)
+    left = spark.range(-3000, 3000).select(F.col("id").alias("key"), F.col("id").alias("place"), F.lit("x").alias("bucket"))
+    left = left.unionAll(left.where("key < 5")).unionAll(spark.sql("select cast(null as long), 0L, 'x'"))
+    keys = spark.range(-3000, 3000, 7).select(F.col("id").alias("key")).unionAll(spark.sql("select cast(null as long)"))
+    kept = graph.sieved(left, keys, "key")
+    assert kept.columns == left.columns
+    assert sorted(kept.join(keys, "key", "left_semi").collect()) == sorted(left.join(keys, "key", "left_semi").collect())
+    assert kept.where("key is null").isEmpty() and kept.count() < left.count() / 2
+    assert graph.sieved(left, keys.limit(0), "key").isEmpty() and graph.sieved(left.limit(0), keys, "key").isEmpty()
+
+
 def test_classes_of_a_large_group(docs):
     """Near copies of one text, more than any block holds, and texts that share a band with them by a long passage."""
     rng = np.random.default_rng(11)
