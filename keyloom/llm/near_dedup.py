@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, scratch, slices, staged
+from .common import batch, scratch, staged, text_slices
 from .graph import components, counted, sieved, unique_join
 
 #: Permutations in a band (twice as many values), and the chance that a pair at the threshold shares no band.
@@ -129,9 +129,8 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = [x or "" for x in rows.column("text").to_pylist()]
-            for a, b in slices(map(len, texts), SHINGLE_BYTES):
-                sets = shingle_sets(texts[a:b], words)
+            for a, b, texts in text_slices(rows.column("text"), SHINGLE_BYTES):
+                sets = shingle_sets([x or "" for x in texts.to_pylist()], words)
                 full = [s for s in sets if len(s)]
                 hashes = iter(band_hashes(full, bands).view(np.int64)) if full else iter(())
                 yield batch(
@@ -153,9 +152,9 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = [x or "" for x in rows.column("text").to_pylist()]
-            for a, b in slices(map(len, texts), SHINGLE_BYTES):
-                yield batch({"doc_id": rows.column("doc_id").slice(a, b - a), "shingles": [s.tobytes() for s in shingle_sets(texts[a:b], words)]}, schema)
+            for a, b, texts in text_slices(rows.column("text"), SHINGLE_BYTES):
+                sets = shingle_sets([x or "" for x in texts.to_pylist()], words)
+                yield batch({"doc_id": rows.column("doc_id").slice(a, b - a), "shingles": [s.tobytes() for s in sets]}, schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, fresh, release, scratch, slices, staged, tasks, unstage
+from .common import batch, fresh, release, scratch, slices, staged, tasks, text_slices, unstage, utf8
 from .graph import counted, unique_join
 from .near_dedup import _BYTE_VALUES, _powers, mix
 from .suffix_order import repeated_windows
@@ -117,10 +117,10 @@ def index(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            raw = [x.as_py().encode("utf-8", "replace") for x in rows.column("text")]
-            for a, b in slices(map(len, raw), INDEX_BYTES):
-                flat = np.frombuffer(b"".join(raw[a:b]), np.uint8)
-                ends = np.cumsum([len(r) for r in raw[a:b]])
+            for a, b, texts in text_slices(rows.column("text"), INDEX_BYTES):
+                raw = utf8(texts)
+                flat = np.frombuffer(b"".join(raw), np.uint8)
+                ends = np.cumsum([len(r) for r in raw])
                 first, last, place, hashes = minimisers(flat, ends, length)
                 text = np.searchsorted(ends, first, side="right")
                 runs = packed(first, last, place, (ends - np.diff(ends, prepend=0))[text])
@@ -162,19 +162,18 @@ def strings(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            raw = [x.as_py().encode("utf-8", "replace") for x in rows.column("text")]
             found = rows.column("found")
             own, (runs, hashes) = found.value_lengths().to_numpy(), (found.flatten().field(c).to_numpy(zero_copy_only=False) for c in range(2))
             d, k = rows.column("d").to_numpy(), rows.column("k").to_numpy()
             upto = np.cumsum(own)
-            for a, b in slices(map(len, raw), CUT_BYTES):
-                parts = _Parts(length)
+            for a, b, texts in text_slices(rows.column("text"), CUT_BYTES):
+                raw, parts = utf8(texts), _Parts(length)
                 cut = slice(upto[a] - own[a], upto[b - 1])
                 doc = np.repeat(np.arange(a, b), own[a:b])
                 start, n, g = unpacked(runs[cut])
                 order = np.lexsort((start, k[doc], d[doc]))
                 for i, at, size, place, h in zip(doc[order].tolist(), start[order].tolist(), n[order].tolist(), g[order].tolist(), hashes[cut][order].tolist(), strict=True):
-                    parts.add(raw[i], at, int(d[i]), int(k[i]), at, size, place, h)
+                    parts.add(raw[i - a], at, int(d[i]), int(k[i]), at, size, place, h)
                 yield parts.result()
 
     return texts.select("d", "k", "text", "found").mapInArrow(run, _PART_SQL)

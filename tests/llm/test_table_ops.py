@@ -1,16 +1,18 @@
 """Near-duplicates, top-k, quality, shards, repeated passages, the graph helpers and the pipeline."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keyloom.llm import graph, near_dedup, packing, pii, pipeline, quality, queries, shards, suffix_dedup, suffix_order, topk
+from keyloom.llm import common, graph, near_dedup, packing, pii, pipeline, quality, queries, shards, suffix_dedup, suffix_order, topk
 
 from .conftest import DATA
 
@@ -637,3 +639,51 @@ def test_pipeline_runs(spark):
             own = ids[a : first if a == 0 else a + 2048]
             expected.append((i, piece, a, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out.collect()) == sorted(expected)
+
+
+# -- memory of workers
+
+
+class Kernel:
+    """Stands in for a DataFrame, to get at the function that an operator gives to mapInArrow."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_text_slices_are_whole_and_small():
+    texts = [None, "", "é" * 30, None, "a" * 50, "b" * 300, "c", "", None]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts], kind).slice(1)
+        for limit in (1, 50, 100, 1000):
+            found = list(common.text_slices(column, limit))
+            assert [x for _, _, part in found for x in part.to_pylist()] == texts
+            assert [a for a, _, _ in found] == [0, *(b for _, b, _ in found[:-1])] and found[-1][1] == len(texts)
+            sizes = [[len((x or "").encode()) for x in part.to_pylist()] for _, _, part in found]
+            assert all(sum(own) <= limit or len([n for n in own if n]) == 1 for own in sizes)
+        assert common.utf8(column.drop_null()) == [x.encode() for x in texts if x is not None]
+    assert list(common.text_slices(pa.array([], pa.string()), 5)) == []
+
+
+@pytest.mark.parametrize("kernel", [lambda: near_dedup.signatures(Kernel(), 5, 2), lambda: near_dedup.sets_of(Kernel(), 5), lambda: suffix_dedup.index(Kernel(), 100), lambda: suffix_dedup.strings(Kernel(), 100)])
+def test_workers_do_not_hold_a_batch_of_texts_twice(kernel, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHINGLE_BYTES", 1 << 16)
+    monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", 1 << 16)
+    monkeypatch.setattr(suffix_dedup, "CUT_BYTES", 1 << 16)
+    n, size = 400, 1 << 16
+    texts = pa.array(["words of a text and some more of them " * (size // 39)] * n)
+    ids = pa.array(range(n), pa.int64())
+    found = pa.array([[]] * n, pa.list_(pa.struct([("run", pa.int64()), ("hash", pa.int64())])))
+    rows = pa.RecordBatch.from_arrays([ids, ids, ids, texts, found], names=["doc_id", "d", "k", "text", "found"])
+    run = kernel()
+    list(run(iter([rows.slice(0, 1)])))  # tables that are made once
+    tracemalloc.start()
+    try:
+        for _ in run(iter([rows])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < n * size / 2
+    finally:
+        tracemalloc.stop()
