@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from keyloom import CorruptedBuffer, Frame, concat, deserialize, intersect, join, json_dumps, read_parquet, serialize, write_parquet
 from keyloom.functions.keys import merged_key
+from keyloom.operators.frame import HIDDEN
+from keyloom.operators.sampling import _least
 from keyloom.testing import assert_frame_equal, assert_index_equal
 
 NAN = float("nan")
@@ -168,6 +170,32 @@ def test_sample(make):
             f.sample(**bad)
 
 
+def test_large_samples_are_dealt_out(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 3).alias("w"), F.lit(None).alias("none"), F.expr("make_interval(0, cast(id as int), 0, 0, 0, 0, -id / 8)").alias("span"))
+    f = Frame(df, index="id", order="id")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "2m"}  # small ranges stay apart
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        for n, how in ((6_000, {"frac": 0.3}), (19_999, {"n": 19_999}), (13_000, {"n": 13_000, "weights": "w"}), (15_000, {"n": 15_000, "weights": "w"})):
+            out = f.sample(seed=7, **how)
+            per = out.df.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+            assert per.sum() == n and per.max() < n / 2
+            assert out.columns == f.columns and out.dtype == f.dtype and out.index.names == ("id",)
+            assert out.df.where("cast(span as string) = cast(make_interval(0, cast(id as int), 0, 0, 0, 0, -id / 8) as string)").count() == n
+            found = got(out.drop("span"))
+            assert len(set(found[0])) == n and found[0] == sorted(found[0]) and found[1] == [k % 3 for k in found[0]] and set(found[2]) == {None}
+            if "weights" not in how:  # the least draws
+                least = df.select("id", F.rand(7).alias("u")).orderBy("u").limit(n).toPandas()
+                assert set(least["id"]) == set(found[0])
+            assert "weights" not in how or sum(k > 0 for k in found[1]) == min(n, 13_333)
+        same = df.withColumn(HIDDEN + "draw", F.lit(0.99))  # none below the bound of 2,000 in 20,000
+        assert _least(same, 2_000, 20_000).select("id").distinct().count() == 2_000
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+
+
 def test_explode(make):
     f = make(a=[[1, 2], None, [], [3]], b=[9, 8, 7, 6])
     assert got(f.explode("a"), "a", "b") == [[1, 2, None, 3], [9, 9, 8, 6]]
